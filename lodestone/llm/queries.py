@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import packing, quality, secrets, toxicity
+from lodestone.llm import jaccard, packing, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +28,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_secrets": op2_secrets, "op4_quality": op4_quality, "op7_toxicity": op7_toxicity}
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_pairs(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_pack": op1_pack, "op2_secrets": op2_secrets, "op4_quality": op4_quality, "op7_toxicity": op7_toxicity, "op9_jaccard": op9_jaccard}
 
 
 def _secret_sql() -> str:
@@ -46,4 +50,19 @@ def _secret_sql() -> str:
     )
 
 
-ORACLES = {"op2_secrets": _secret_sql()}
+_JACCARD_SQL = r"""
+with words as (
+  select doc_id, regexp_extract_all(lower(text), '[0-9a-z_\x{80}-\x{10FFFF}]+') as w from documents where doc_id is not null and text is not null
+), grams as (
+  select doc_id, list_distinct(case when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g
+  from words where len(w) > 0
+), flat as (
+  select doc_id, len(g) as size, unnest(g) as gram from grams
+), shared as (
+  select a.doc_id as doc_id_a, b.doc_id as doc_id_b, any_value(a.size) as sa, any_value(b.size) as sb, count(*) as both
+  from flat a join flat b on a.gram = b.gram and a.doc_id < b.doc_id group by 1, 2
+)
+select doc_id_a, doc_id_b, round(both / cast(sa + sb - both as double), 6) as jaccard from shared where both / cast(sa + sb - both as double) >= 0.55 - 1e-12
+"""
+
+ORACLES = {"op2_secrets": _secret_sql(), "op9_jaccard": _JACCARD_SQL}
