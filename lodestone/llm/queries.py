@@ -59,10 +59,10 @@ with words as (
 ), flat as (
   select doc_id, len(g) as size, unnest(g) as gram from grams
 ), shared as (
-  select a.doc_id as doc_id_a, b.doc_id as doc_id_b, any_value(a.size) as sa, any_value(b.size) as sb, count(*) as both
+  select a.doc_id as doc_id_a, b.doc_id as doc_id_b, any_value(a.size) as sa, any_value(b.size) as sb, count(*) as common
   from flat a join flat b on a.gram = b.gram and a.doc_id < b.doc_id group by 1, 2
 )
-select doc_id_a, doc_id_b, round(both / cast(sa + sb - both as double), 6) as jaccard from shared where both / cast(sa + sb - both as double) >= 0.55 - 1e-12
+select doc_id_a, doc_id_b, round(common / cast(sa + sb - common as double), 6) as jaccard from shared where common / cast(sa + sb - common as double) >= 0.55 - 1e-12
 """
 
 ORACLES = {"op2_secrets": _secret_sql(), "op9_jaccard": _JACCARD_SQL}
