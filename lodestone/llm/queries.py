@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import jaccard, packing, quality, secrets, toxicity
+from lodestone.llm import bpe, html_text, jaccard, jpeg, neighbours, packing, quality, quotations, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary_path() -> str:
+    """The rank file that op8_bpe uses: that of the installed public tokenizers, unless LODESTONE_BPE_RANKS names another."""
+    return os.environ.get("LODESTONE_BPE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -28,11 +35,43 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # no table holds pictures: each embedding is drawn and stored as a JPEG file first
+    return jpeg.media_columns(jpeg.media_of_vectors(_table(spark, sf_dir, "embeddings")))
+
+
+def op6_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.reply_order(_table(spark, sf_dir, "conversations"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_pairs(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_secrets": op2_secrets, "op4_quality": op4_quality, "op7_toxicity": op7_toxicity, "op9_jaccard": op9_jaccard}
+QUERIES = {
+    "op1_pack": op1_pack,
+    "op2_secrets": op2_secrets,
+    "op3_html": op3_html,
+    "op4_quality": op4_quality,
+    "op5_jpeg": op5_jpeg,
+    "op6_quotations": op6_quotations,
+    "op7_toxicity": op7_toxicity,
+    "op8_bpe": op8_bpe,
+    "op9_jaccard": op9_jaccard,
+    "op10_neighbours": op10_neighbours,
+}
 
 
 def _secret_sql() -> str:
