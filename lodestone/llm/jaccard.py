@@ -185,12 +185,30 @@ def local_pairs(size: np.ndarray, part: np.ndarray, tokens: np.ndarray, groups:
     sorted_keys = (owner.astype(np.uint64) << np.uint64(32)) | tokens
     value = mix(tokens.astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D))
 
+    common = np.bincount(owner[_shared(tokens, part)], minlength=n)
+    # parity of the elements in each of 256 cells: two parts differ in at least as many elements as cells
+    cells = np.bincount(owner * 256 + (value >> np.uint64(56)).astype(np.int64), minlength=n * 256).astype(np.uint8) & 1
+    parity = np.packbits(cells.reshape(n, 256), axis=1).view(np.uint64).T.copy()
+
+    def limits(a, b):
+        return np.floor(allowed(size[a] + size[b], threshold) / groups + 1e-9)
+
+    def possible(a, b):
+        """Pairs that lower bounds of the difference don't rule out."""
+        limit = limits(a, b)
+        fits = part[a] + part[b] - 2 * np.minimum(common[a], common[b]) <= limit
+        fits &= np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
+        a, b, limit = a[fits], b[fits], limit[fits]
+        least = np.zeros(len(a), np.int64)
+        for word in parity:
+            least += np.bitwise_count(word[a] ^ word[b])
+            fits = least <= limit
+            a, b, limit, least = a[fits], b[fits], limit[fits], least[fits]
+        return a, b
+
     def near_enough(a, b):
         """Pairs whose parts differ by little enough."""
-        fits = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
-        limit = np.floor(allowed(size[a] + size[b], threshold) / groups + 1e-9)
-        fits &= np.abs(part[a] - part[b]) <= limit
-        a, b, limit = a[fits], b[fits], limit[fits]
+        limit = limits(a, b)
         which = np.repeat(np.arange(len(a)), part[a])
         query = (b[which].astype(np.uint64) << np.uint64(32)) | tokens[_ranges(start[a], part[a])]
         at = np.searchsorted(sorted_keys, query)
@@ -204,7 +222,8 @@ def local_pairs(size: np.ndarray, part: np.ndarray, tokens: np.ndarray, groups:
         apart = (x != y) & (a != b)
         if not apart.any():
             return
-        pair = np.unique(np.minimum(a[apart], b[apart]) * n + np.maximum(a[apart], b[apart]))
+        a, b = possible(a[apart], b[apart])
+        pair = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
         for k in range(0, len(pair), 200_000):
             p, q = near_enough(pair[k : k + 200_000] // n, pair[k : k + 200_000] % n)
             forest.join(alive[p], alive[q])
