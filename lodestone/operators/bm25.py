@@ -42,6 +42,9 @@ def stats(index: BM25Index) -> DataFrame:
 def search(index: BM25Index, queries: DataFrame, limit: int, config: BM25Config = BM25Config()) -> DataFrame:
     """(query_id, id, score, rank) of queries(query_id, query): the best `limit` of each, ties by id.
 
+    Scores are rounded to 9 places, so that equal documents tie whatever the order of
+    summation.
+
     The postings are cut down to the queries' terms by a join on the term, then
     summed by (query, id): two shuffles whose size follows the matches.
     """
@@ -51,7 +54,7 @@ def search(index: BM25Index, queries: DataFrame, limit: int, config: BM25Config
     part = weight * F.col("tf") * (config.k1 + 1) / F.greatest(F.col("tf") + config.k1 * length, F.lit(1e-4))
     # totals is one row by construction
     met = index.postings.join(asked, "term").join(index.frequencies, "term").crossJoin(F.broadcast(index.totals))
-    scored = met.groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
+    scored = met.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     if limit <= 0:
         return scored.withColumn("rank", F.lit(1)).limit(0)

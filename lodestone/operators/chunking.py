@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from lodestone.config import ChunkConfig
 from lodestone.functions.text import word_count
-from lodestone.operators.keywords import top_keywords_of
+from lodestone.operators.keywords import frequent_terms
 
-SPANS = "array<struct<content:string,start_offset:int,end_offset:int>>"
+SPANS = "array<struct<content:string,start_offset:int,end_offset:int,keywords:array<string>>>"
 
 
 def _after_space(text: str, at: int) -> int:
@@ -59,7 +59,7 @@ def chunk(documents: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFram
 
     @F.pandas_udf(SPANS)
     def split(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"content": c, "start_offset": a, "end_offset": b} for c, a, b in spans(t if isinstance(t, str) else None, config)] for t in texts])
+        return pd.Series([[{"content": c, "start_offset": a, "end_offset": b, "keywords": frequent_terms(c, config.keywords)} for c, a, b in spans(t if isinstance(t, str) else None, config)] for t in texts])
 
     placed = documents.select("doc_ord", "doc_id", F.posexplode(split("content")).alias("index", "span"))
     rows = placed.select(
@@ -69,8 +69,9 @@ def chunk(documents: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFram
         "span.content",
         "span.start_offset",
         "span.end_offset",
+        "span.keywords",
         "index",
     )
     extra = F.create_map().cast("map<string,string>")
-    metadata = F.struct(F.col("index").alias("index"), word_count(F.col("content")).alias("word_count"), top_keywords_of(F.col("content"), config.keywords).alias("keywords"), extra.alias("extra"))
-    return rows.withColumn("metadata", metadata).drop("index")
+    metadata = F.struct(F.col("index").alias("index"), word_count(F.col("content")).alias("word_count"), F.col("keywords").alias("keywords"), extra.alias("extra"))
+    return rows.withColumn("metadata", metadata).drop("index", "keywords")

@@ -27,7 +27,7 @@ def fuse(semantic: DataFrame, keyword: DataFrame, config: HybridConfig = HybridC
         score = s + k
     else:
         score = F.greatest(s, k)
-    return both.select("query_id", "id", score.alias("score"), s.alias("semantic_score"), k.alias("keyword_score"))
+    return both.select("query_id", "id", F.round(score, 9).alias("score"), s.alias("semantic_score"), k.alias("keyword_score"))
 
 
 def rank_fused(fused: DataFrame, limit: int, config: HybridConfig = HybridConfig()) -> DataFrame:

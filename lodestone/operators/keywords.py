@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.functions.lexicons import STOPWORDS
 from lodestone.functions.text import keyword_tokens
 
 
@@ -44,12 +48,8 @@ def keywords(documents: DataFrame, top_k: int, corpus: DataFrame | None = None,
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select(key, "term", "score", "rank")
 
 
-def top_keywords_of(text: Column, top_k: int) -> Column:
-    """The top_k terms of one text without a corpus, as an array in the row: most frequent first, ties by term."""
-    if top_k <= 0:
-        return F.array().cast("array<string>")
-    tokens = F.array_sort(keyword_tokens(text))
-    distinct = F.array_distinct(tokens)
-    # position of the last occurrence less that of the first gives the count in a sorted array
-    ranked = F.array_sort(F.transform(distinct, lambda t: F.struct((F.array_position(tokens, t) - 1 - F.size(tokens) + F.array_position(F.reverse(tokens), t)).alias("less"), t.alias("term"))))
-    return F.slice(F.transform(ranked, lambda x: x["term"]), 1, top_k)
+def frequent_terms(text: str, top_k: int) -> list[str]:
+    """The top_k terms of one text without a corpus: most frequent first, ties by term. For code that already runs in Python."""
+    words = ("".join(c for c in w if c.isalpha() or c.isnumeric() or c in "-_" or unicodedata.category(c)[0] == "M") for w in text.lower().split())
+    counted = Counter(w for w in words if len(w) >= 3 and w not in STOPWORDS and not all(map(str.isnumeric, w)))
+    return sorted(counted, key=lambda w: (-counted[w], w))[: max(0, top_k)]

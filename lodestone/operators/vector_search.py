@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,11 +37,11 @@ def _hash(term: str) -> int:
     return h
 
 
-def hash_embedding(tokens: Column, dimension: int) -> Column:
-    """The unit-length signed hash vector of a token array as array<float>; all zero without a token."""
+def hash_embedding(tokens: Column, dimension: int, kind: str = "float") -> Column:
+    """The unit-length signed hash vector of a token array as array<kind>; all zero without a token."""
     dimension = max(1, dimension)
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(f"array<{kind}>")
     def embed(lists: pd.Series) -> pd.Series:
         known: dict[str, int] = {}
         out = []
@@ -55,45 +53,78 @@ def hash_embedding(tokens: Column, dimension: int) -> Column:
                     h = known[t] = _hash(t)
                 v[h % dimension] += -1.0 if h & 1 else 1.0
             size = np.sqrt(v @ v)
-            out.append((v / size if size else v).astype(np.float32))
+            out.append((v / size if size else v).astype(np.float32 if kind == "float" else np.float64))
         return pd.Series(out)
 
     return embed(tokens)
 
 
-def embed_texts(texts: DataFrame, dimension: int, text: str = "content", into: str = "embedding") -> DataFrame:
-    return texts.withColumn(into, hash_embedding(plain_tokens(F.coalesce(F.col(text), F.lit(""))), dimension))
+def embed_texts(texts: DataFrame, dimension: int, text: str = "content", into: str = "embedding", kind: str = "float") -> DataFrame:
+    return texts.withColumn(into, hash_embedding(plain_tokens(F.coalesce(F.col(text), F.lit(""))), dimension, kind))
+
+
+BROADCAST_NUMBERS = 4_000_000
+"""Up to so many numbers in all queries together are sent to every executor; more go through a join."""
+
+
+def _scored(vectors: DataFrame, queries: DataFrame, k: int | None, threshold: float | None) -> DataFrame:
+    """(query_id, id, score), the score rounded to 9 places.
+
+    A few queries meet the vectors in numpy, batch by batch, and only what can be
+    among the best k of its batch, or reaches the threshold, leaves it. Many
+    queries meet them in a join.
+    """
+    size = queries.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0]
+    if size > BROADCAST_NUMBERS:
+        left = queries.select("query_id", F.col("embedding").alias("_q")).withColumn("_qn", norm(F.col("_q")))
+        right = vectors.select("id", "embedding").withColumn("_n", norm(F.col("embedding")))
+        scored = right.crossJoin(left).select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("_q"), F.col("_n"), F.col("_qn")), 9).alias("score"))
+        return scored if threshold is None else scored.where(F.col("score") >= threshold)
+    asked = queries.select("query_id", "embedding").toPandas()
+    widths = [0 if e is None else len(e) for e in asked["embedding"]]
+    groups = {w: (asked["query_id"].to_numpy()[[i for i, x in enumerate(widths) if x == w]], np.array([e for e, x in zip(asked["embedding"], widths) if x == w], np.float64)) for w in set(widths)}
+    shared = queries.sparkSession.sparkContext.broadcast(groups)
+
+    def run(batches):
+        for rows in batches:
+            of = np.array([0 if e is None else len(e) for e in rows["embedding"]])
+            for w, (ids, q) in shared.value.items():
+                score = np.zeros((len(rows), len(ids)))
+                same = np.flatnonzero(of == w)
+                if w and len(same):
+                    v = np.array(rows["embedding"].iloc[same].tolist(), np.float64)
+                    both = np.linalg.norm(v, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
+                    score[same] = np.divide(v @ q.T, both, out=np.zeros_like(both), where=both > 0)
+                score = np.round(score, 9)
+                keep = np.ones(score.shape, bool) if threshold is None else score >= threshold
+                if k is not None and k < len(rows):
+                    keep &= score >= np.partition(score, len(rows) - k, axis=0)[len(rows) - k]
+                r, c = np.nonzero(keep)
+                yield pd.DataFrame({"query_id": ids[c], "id": rows["id"].to_numpy()[r], "score": score[r, c]})
+
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return vectors.select("id", "embedding").mapInPandas(run, f"query_id {kind}, id string, score double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int | None, threshold: float | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k vectors of vectors(id, embedding) nearest by cosine to each of queries(query_id, embedding).
 
-    Every pair is compared, ties go by id; k None takes all; the threshold is
-    applied behind the top k. The norms are computed once per vector.
+    Every pair is compared, ties go by id; k None takes all; a threshold keeps
+    what reaches it among the top k.
     """
-    left = queries.select("query_id", F.col("embedding").alias("_q")).withColumn("_qn", norm(F.col("_q")))
-    right = vectors.select("id", "embedding").withColumn("_n", norm(F.col("embedding")))
-    scored = right.crossJoin(left).select("query_id", "id", cosine(F.col("embedding"), F.col("_q"), F.col("_n"), F.col("_qn")).alias("score"))
+    scored = _scored(vectors, queries, k, threshold)
     if k is not None and k <= 0:
         return scored.withColumn("rank", F.lit(1)).limit(0)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = scored.withColumn("rank", F.row_number().over(order))
-    if k is not None:
-        ranked = ranked.where(F.col("rank") <= k)
-    return ranked if threshold is None else ranked.where(F.col("score") >= threshold)
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def similar(vectors: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
     """(query_id, id, score) of all pairs with cosine >= threshold."""
-    left = queries.select("query_id", F.col("embedding").alias("_q")).withColumn("_qn", norm(F.col("_q")))
-    right = vectors.select("id", "embedding").withColumn("_n", norm(F.col("embedding")))
-    score = cosine(F.col("embedding"), F.col("_q"), F.col("_n"), F.col("_qn"))
-    return right.crossJoin(left).select("query_id", "id", score.alias("score")).where(F.col("score") >= threshold)
+    return _scored(vectors, queries, None, threshold)
 
 
 def collection_stats(vectors: DataFrame) -> DataFrame:
     """One row (count, dimension): the dimension is that of the vector with the least id order; null when empty."""
     return vectors.agg(F.count("*").alias("count"), F.min_by(F.size("embedding"), "id").alias("dimension"))
-
-
-Embedder = Callable[[DataFrame], DataFrame]
