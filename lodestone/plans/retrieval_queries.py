@@ -137,7 +137,7 @@ def knn_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _all_vectors(spark, sf_dir, 5, 0.3)
 
 
-@query(f"select a.vec_id as query_id, cast(b.vec_id as varchar) as id, round({_PAIR}, 6) as score from embeddings a, embeddings b where round({_PAIR}, 9) >= 0.35")
+@query(f"select a.vec_id as query_id, cast(b.vec_id as varchar) as id, round(round({_PAIR}, 9), 6) as score from embeddings a, embeddings b where round({_PAIR}, 9) >= 0.35")
 def range_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
     return vector_search.similar(vectors(spark, sf_dir), asked, 0.35).withColumn("score", F.round("score", 6))
