@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.text_arrays import chunks, mix, shingles, word_hashes
+from lodestone.operators.components import components
 from lodestone.runtime import materialise
 
 RATIO = 4
@@ -137,15 +138,16 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(int(count.sum())) - np.repeat(base - first, count)
 
 
-def _shared(tokens: np.ndarray, part: np.ndarray) -> np.ndarray:
+def _shared(tokens: np.ndarray) -> np.ndarray:
     """For each token whether another set holds it too."""
-    order = np.argsort(tokens, kind="stable")
-    t = tokens[order]
-    same = np.zeros(len(t), bool)
-    same[1:] = t[1:] == t[:-1]
+    key = (tokens.astype(np.uint64) << np.uint64(32)) | np.arange(len(tokens), dtype=np.uint32)
+    key.sort()
+    same = np.zeros(len(key), bool)
+    high = (key >> np.uint64(32)).astype(np.uint32)
+    same[1:] = high[1:] == high[:-1]
     same[:-1] |= same[1:].copy()
-    out = np.zeros(len(t), bool)
-    out[order] = same
+    out = np.zeros(len(key), bool)
+    out[key[same].astype(np.uint32)] = True
     return out
 
 
@@ -162,8 +164,8 @@ def local_pairs(size: np.ndarray, part: np.ndarray, tokens: np.ndarray, groups:
     for _ in range(2):  # parts that nothing can be near; each round makes more elements unshared
         if not len(alive):
             return forest.root
-        owner = np.repeat(np.arange(len(alive)), part[alive])
-        unshared = part[alive] - np.bincount(owner[_shared(tokens, part[alive])], minlength=len(alive))
+        owner = np.repeat(np.arange(len(alive), dtype=np.int32), part[alive])
+        unshared = part[alive] - np.bincount(owner[_shared(tokens)], minlength=len(alive))
         room = rate * size[alive]
         least = part[alive] - room
         step = np.log(1.05)
@@ -185,7 +187,7 @@ def local_pairs(size: np.ndarray, part: np.ndarray, tokens: np.ndarray, groups:
     sorted_keys = (owner.astype(np.uint64) << np.uint64(32)) | tokens
     value = mix(tokens.astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D))
 
-    common = np.bincount(owner[_shared(tokens, part)], minlength=n)
+    common = np.bincount(owner[_shared(tokens)], minlength=n)
     # parity of the elements in each of 256 cells: two parts differ in at least as many elements as cells
     cells = np.bincount(owner * 256 + (value >> np.uint64(56)).astype(np.int64), minlength=n * 256).astype(np.uint8) & 1
     parity = np.packbits(cells.reshape(n, 256), axis=1).view(np.uint64).T.copy()
@@ -295,7 +297,7 @@ def local_pairs(size: np.ndarray, part: np.ndarray, tokens: np.ndarray, groups:
 
 
 def _match(threshold: float, group_tokens: int):
-    """Blobs of one (range, group) -> rows (kind, a, b): 0 for an edge between sets, 1 for (set, document)."""
+    """Blobs of one (range, group) -> rows (kind, a, b, size): 0 for an edge between sets, 1 for (set, document)."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         level = int(key[0]) // 1000
@@ -304,41 +306,26 @@ def _match(threshold: float, group_tokens: int):
         part = np.frombuffer(b"".join(rows["part"]), np.uint32).astype(np.int64)
         tokens = np.frombuffer(b"".join(rows["tokens"]), np.uint32)
         out = []
-        known = [(s, i) for s, i in zip(rows["sid"], rows["ids"]) if i is not None]
-        if known:
-            s = np.frombuffer(b"".join(x for x, _ in known), np.int64)
-            out.append(pd.DataFrame({"kind": 1, "a": s, "b": np.frombuffer(b"".join(x for _, x in known), np.int64)}))
+        known = rows[rows["ids"].notna()]
+        if len(known):
+            s, d, z = (np.frombuffer(b"".join(known[c]), kind) for c, kind in (("sid", np.int64), ("ids", np.int64), ("size", np.uint32)))
+            out.append(pd.DataFrame({"kind": 1, "a": s, "b": d, "size": z.astype(np.int32)}))
         sids, first = np.unique(sid, return_index=True)
         start = np.cumsum(part) - part
-        tokens = tokens[_ranges(start[first], part[first])]
+        if len(first) < len(sid):
+            tokens = tokens[_ranges(start[first], part[first])]
+        else:
+            order = np.argsort(first)
+            sids, first = sids[order], first[order]
         root = local_pairs(size[first], part[first], tokens, groups_of(level, group_tokens), threshold)
         child = np.flatnonzero(root != np.arange(len(root)))
         ids = sids.view(np.int64)
-        out.append(pd.DataFrame({"kind": 0, "a": ids[child], "b": ids[root[child]]}))
-        return pd.concat(out).astype({"kind": np.int32})
+        out.append(pd.DataFrame({"kind": 0, "a": ids[child], "b": ids[root[child]], "size": 0}))
+        return pd.concat(out).astype({"kind": np.int32, "size": np.int32})
 
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of the nodes of edges(a, b): label is the least node of the component.
-
-    Least labels spread along edges and along labels (pointer jumping) until
-    nothing changes, in about log2(diameter) rounds; each round is a table.
-    """
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        far = labels.select(F.col("node").alias("_n"), F.col("label").alias("far"))
-        step = labels.join(near, F.col("node") == F.col("a")).join(far, F.col("label") == F.col("_n"), "left")
-        fresh = F.least("label", "near", F.coalesce("far", "label"))
-        labels = materialise(step.select("node", fresh.alias("label"), (fresh != F.col("label")).alias("moved")), "labels")
-        if labels.where("moved").limit(1).count() == 0:
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
-
-
 def unit_overlaps(tokens: list[np.ndarray], across: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Overlap sizes of all pairs i < j of the sets that share an element; with `across` only of pairs where it differs."""
     k = len(tokens)
@@ -408,6 +395,8 @@ def _verify(threshold: float, forest: bool):
 
 
 def _sets(n: int):
+    """Texts with the place of their set -> the set, once for every unit it takes part in."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             texts, out = rows["text"].tolist(), []
@@ -416,9 +405,12 @@ def _sets(n: int):
                 ids = set_ids(tokens, size).view(np.int64)
                 ends = np.cumsum(size)
                 same = ids == rows["sid"].to_numpy()[a:b]  # another row with the same doc_id may hold another text
-                out += [(rows["label"].iat[a + i], ids[i], size[i], tokens[ends[i] - size[i] : ends[i]].tobytes()) for i in np.flatnonzero(same)]
+                for i in np.flatnonzero(same):
+                    own, many, block = rows["label"].iat[a + i], rows["blocks"].iat[a + i], rows["block"].iat[a + i]
+                    blob = tokens[ends[i] - size[i] : ends[i]].tobytes()
+                    out += [(own, min(block, k), max(block, k), block, ids[i], size[i], blob) for k in range(many)]
             if out:
-                yield pd.DataFrame(out, columns=["label", "sid", "size", "tokens"])
+                yield pd.DataFrame(out, columns=["label", "low", "high", "block", "sid", "size", "tokens"])
 
     return run
 
@@ -430,22 +422,23 @@ def _matched(docs: DataFrame, n: int, threshold: float, group_tokens: int, unit_
     spark = docs.sparkSession
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null and text is not null")
     blobs = lean.mapInPandas(_spread(n, threshold, group_tokens), "key int, sid binary, size binary, part binary, tokens binary, ids binary")
-    found = materialise(blobs.groupBy("key").applyInPandas(_match(threshold, group_tokens), "kind int, a long, b long"), "matches")
+    found = materialise(blobs.groupBy("key").applyInPandas(_match(threshold, group_tokens), "kind int, a long, b long, size int"), "matches")
     members = found.where("kind = 1").select(F.col("b").alias("doc_id"), F.col("a").alias("sid")).distinct()
     labels = components(found.where("kind = 0"))
-    first = members.join(labels, F.col("sid") == F.col("node")).groupBy("sid", "label").agg(F.min("doc_id").alias("_doc"))
-    texts = lean.join(first.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc")).select("label", "sid", "text")
-    sets = materialise(texts.mapInPandas(_sets(n), "label long, sid long, size int, tokens binary"), "sets")
-    blocks = sets.groupBy("label").agg(F.ceil(F.sum("size") / unit_tokens).cast("int").alias("blocks"))
-    units = sets.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "sid", "size", "tokens")
+    held = found.where("kind = 1").select(F.col("b").alias("_doc"), F.col("a").alias("sid"), "size")
+    first = held.join(labels, F.col("sid") == F.col("node")).groupBy("sid", "label").agg(F.min("_doc").alias("_doc"), F.max("size").alias("size"))
+    # a component of many elements is verified in pairs of blocks, each a bounded piece of work
+    blocks = first.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / unit_tokens)).cast("int").alias("blocks"))
+    placed = first.join(blocks, "label").select("label", "sid", "_doc", "blocks", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"))
+    placed = materialise(placed, "placed")
+    texts = lean.join(placed.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc")).select("label", "sid", "blocks", "block", "text")
+    units = texts.mapInPandas(_sets(n), "label long, low int, high int, block int, sid long, size int, tokens binary")
     spread = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     units = units.withColumn("bucket", F.pmod(F.xxhash64("label", "low", "high"), F.lit(spread)))
     return members, units.groupBy("bucket").applyInPandas(_verify(threshold, forest), "a long, b long, jaccard double")
 
 
-def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.55, group_tokens: int = 16, unit_tokens: int = 2_000_000) -> DataFrame:
+def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.55, group_tokens: int = 64, unit_tokens: int = 2_000_000) -> DataFrame:
     """doc_id_a < doc_id_b and jaccard (rounded to 6 places) of all pairs of docs(doc_id, text, ...) with Jaccard >= threshold.
 
     A set holds the distinct n-grams of lower-cased words (runs of letters,
@@ -468,7 +461,7 @@ def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.55, group_to
     return pairs.groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard")) if repeats else pairs
 
 
-def near_copies(docs: DataFrame, n: int = 3, threshold: float = 0.55, group_tokens: int = 16, unit_tokens: int = 2_000_000) -> DataFrame:
+def near_copies(docs: DataFrame, n: int = 3, threshold: float = 0.55, group_tokens: int = 64, unit_tokens: int = 2_000_000) -> DataFrame:
     """(doc_id, keeper) of every document that similar_pairs() connects, directly or through others, to a document of lower id."""
     members, verified = _matched(docs, n, threshold, group_tokens, unit_tokens, forest=True)
     labels = components(verified.select("a", "b"))
