@@ -72,15 +72,15 @@ def fit(texts: list, toxic: np.ndarray, sizes: tuple[int, ...] = (4, 5, 6), bits
     empty = Model(sizes, bits, np.zeros(0, np.int64), np.zeros(0), base)
     if not len(texts) or toxic.min() == toxic.max():
         return empty
-    keys = []
-    for a, b in chunks(texts, CHUNK_CHARS):
+    compact = np.uint32 if len(texts) << bits <= 1 << 32 else np.int64
+    keys, p, q = [], np.zeros(1 << bits), np.zeros(1 << bits)
+    for a, b in chunks(texts, 200_000):  # small steps: the driver holds one number for each distinct n-gram of a text, no more
         row, slot = ngram_slots(texts[a:b], sizes, bits)
-        keys.append(np.unique(((row.astype(np.int64) + a) << bits) | slot))
-    key = np.concatenate(keys)
-    row, slot = key >> bits, key & ((1 << bits) - 1)
-    positive = toxic[row] > 0
-    p = np.bincount(slot[positive], minlength=1 << bits).astype(float)
-    q = np.bincount(slot[~positive], minlength=1 << bits).astype(float)
+        key = np.unique(((row.astype(np.int64) + a) << bits) | slot)
+        slot, positive = key & ((1 << bits) - 1), toxic[key >> bits] > 0
+        p += np.bincount(slot[positive], minlength=1 << bits)
+        q += np.bincount(slot[~positive], minlength=1 << bits)
+        keys.append(key.astype(compact))
     ratio = np.log((p + smooth) / (p.sum() + smooth * len(p))) - np.log((q + smooth) / (q.sum() + smooth * len(q)))
     # what a feature says about the labels: its ratio times the share of texts of the likelier class that hold it
     says = np.abs(ratio) * np.maximum(p / toxic.sum(), q / (1 - toxic).sum())
@@ -91,8 +91,9 @@ def fit(texts: list, toxic: np.ndarray, sizes: tuple[int, ...] = (4, 5, 6), bits
         return empty
     place = np.full(1 << bits, -1, np.int64)
     place[chosen] = np.arange(len(chosen))
-    keep = place[slot] >= 0
-    row, column = row[keep], place[slot[keep]]
+    held = [key[place[key.astype(np.int64) & ((1 << bits) - 1)] >= 0].astype(np.int64) for key in keys]
+    key = np.concatenate(held)
+    row, column = key >> bits, place[key & ((1 << bits) - 1)]
     value = ratio[chosen][column]
     w, b, n = np.zeros(len(chosen)), base, len(toxic)
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
