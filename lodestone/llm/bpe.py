@@ -29,7 +29,7 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 """How byte-level BPE vocabularies of this family cut text into words; the cuts join up to the whole text."""
 
 NONE = np.int64(1) << np.int64(40)
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 """Words whose encoding a worker remembers; beyond that it forgets and goes on."""
 
 
@@ -169,6 +169,26 @@ def vocabulary(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
+def _encoder(path: str, digest: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = vocabulary(path)
+        for rows in batches:
+            texts = rows["text"].tolist()
+            for a, b in chunks(texts, 500_000):
+                known = [isinstance(t, str) for t in texts[a:b]]
+                lists = v.encode_batch([t if k else "" for t, k in zip(texts[a:b], known)])
+                out = {
+                    "doc_id": rows["doc_id"].iloc[a:b].astype("Int64"),
+                    "tokens": [np.array(t, np.int32) if k else None for t, k in zip(lists, known)],
+                    "n_tokens": pd.array([len(t) if k else None for t, k in zip(lists, known)], "Int32"),
+                }
+                if digest:
+                    out["text_sha256"] = [hashlib.sha256(v.decode(t).encode("utf-8")).hexdigest() if k else None for t, k in zip(lists, known)]
+                yield pd.DataFrame(out)
+
+    return run
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, tokens, n_tokens of docs(doc_id, text, ...) under the rank file at `path` (present on every executor).
 
@@ -177,18 +197,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     encoded whole, an empty table gives an empty result, and other columns are
     not read.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = vocabulary(path)
-        for rows in batches:
-            texts = rows["text"].tolist()
-            for a, b in chunks(texts, 1_000_000):
-                known = [isinstance(t, str) for t in texts[a:b]]
-                tokens = v.encode_batch([t if k else "" for t, k in zip(texts[a:b], known)])
-                tokens = [np.array(t, np.int32) if k else None for t, k in zip(tokens, known)]
-                yield pd.DataFrame({"doc_id": rows["doc_id"].iloc[a:b].astype("Int64"), "tokens": tokens, "n_tokens": pd.array([None if t is None else len(t) for t in tokens], "Int32")})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, tokens array<int>, n_tokens int")
+    lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return lean.mapInPandas(_encoder(path, False), "doc_id long, tokens array<int>, n_tokens int")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -207,11 +217,5 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     The same cases as encode(); a null text has a null digest.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = vocabulary(path)
-        for rows in batches:
-            digests = [None if t is None else hashlib.sha256(v.decode(t.tolist() if hasattr(t, "tolist") else t).encode("utf-8")).hexdigest() for t in rows["tokens"]]
-            yield rows.assign(doc_id=rows["doc_id"].astype("Int64"), n_tokens=rows["n_tokens"].astype("Int32"), text_sha256=digests)
-
-    return encode(docs, path).mapInPandas(run, "doc_id long, tokens array<int>, n_tokens int, text_sha256 string")
+    lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return lean.mapInPandas(_encoder(path, True), "doc_id long, tokens array<int>, n_tokens int, text_sha256 string")
