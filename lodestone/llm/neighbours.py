@@ -7,8 +7,10 @@ projection; virtual rehashing widens all windows together by the factor `grow`,
 and each widening looks only at the newly covered flanks. A vector that has
 fallen into at least `share` of the windows has collided often enough: it is
 verified by its true distance. A query ends when `k` verified vectors are
-nearer than the current radius, for then what is still uncounted is farther
-with high probability.
+nearer than the current radius over `margin`. At a radius equal to its distance
+a vector falls into the share 0.68 of the windows on average and so into 28 of
+40 only every other time; at 1.25 times its distance into 0.79 of them, and into
+28 of 40 with probability 0.94, whatever the data look like.
 
 Vectors meet in pairs of blocks, a block of queries with a block of data, so a
 task's memory is bounded; the best k of all blocks are merged at the end.
@@ -38,21 +40,24 @@ class Index:
         self.values = np.take_along_axis(values, self.order, axis=0)
         self.norms = (data**2).sum(axis=1)
 
-    def search(self, queries: np.ndarray, skip: np.ndarray, k: int, radius: float, width: float = 2.0, share: float = 0.7, grow: float = 1.25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, skip: np.ndarray, k: int, radius: float, width: float = 2.0, share: float = 0.7, grow: float = 1.25, margin: float = 1.25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, data row, squared distance) of up to k neighbours of each query, data rows with skip[query] == their number left out.
 
-        `radius` is where the windows start: half-width radius * width / 2.
+        `radius` is where the windows start: half-width radius * width / 2. The
+        last widening goes to `margin` times the k-th distance and no further.
         """
         n, m = len(self.data), len(self.lines)
         need = int(np.ceil(share * m))
         out_q, out_d, out_s = [], [], []
         centre = queries @ self.lines.T
         counts = np.zeros(n, np.uint8 if m < 256 else np.uint16)
+        verified = np.zeros(n, bool)
         orders = [np.ascontiguousarray(self.order[:, j]) for j in range(m)]
         arrays = [np.ascontiguousarray(self.values[:, j]) for j in range(m)]
         middle = [np.searchsorted(a, centre[:, j]).tolist() for j, a in enumerate(arrays)]
         for q in range(len(queries)):
             counts[:] = 0
+            verified[:] = False
             lo = [x[q] for x in middle]
             hi = list(lo)
             r = radius
@@ -72,17 +77,22 @@ class Index:
                         hi[j] = right
                 found = np.flatnonzero(counts >= need)
                 if len(found) > len(seen):
-                    fresh = np.setdiff1d(found, seen, assume_unique=True)
+                    fresh = found[~verified[found]]
+                    verified[fresh] = True
                     gap = self.data[fresh] - queries[q]
                     seen = np.concatenate([seen, fresh])
                     dist = np.concatenate([dist, np.einsum("ij,ij->i", gap, gap)])
                 others = seen != own
-                enough = int((dist[others] <= r * r).sum()) >= k
-                if enough or int(others.sum()) >= n - (0 <= own < n):
+                known = dist[others]
+                if len(known) >= n - (0 <= own < n):
+                    break
+                # as far as the k-th verified distance asks for, which may fall on the way
+                goal = margin * float(np.sqrt(np.partition(known, k - 1)[k - 1])) if len(known) >= k else np.inf
+                if goal <= r:
                     break
                 if all(x == 0 for x in lo) and all(x == n for x in hi):
                     break
-                r *= grow
+                r = min(r * grow, goal)
             rows, d = seen[others], dist[others]
             if len(rows) > 4 * k:
                 best = np.argpartition(d, 4 * k)[: 4 * k]

@@ -36,3 +36,23 @@ def test_edges(spark):
     assert [g for g in got if g[0] == 1] == [(1, 1, 2), (1, 2, 3)] and {g[0] for g in got} == {1, 2, 3}
     assert all(a != c for a, _, c in got) and len([g for g in got if g[0] == 3]) == 4
     assert N.nearest(df.limit(0)).count() == 0
+
+
+def test_recall_whatever_the_density():
+    g = np.random.default_rng(5)
+    n, width, k = 3000, 64, 10
+    x = g.standard_normal((n, width))
+    group = np.arange(n) % 30
+    tables = {
+        "gaussian": x,
+        "unequal density": 3 * g.standard_normal((30, width))[group] + x * np.geomspace(0.05, 3, 30)[group, None],
+        "unequal length": x * np.exp(g.standard_normal((n, 1))),
+    }
+    asked = np.arange(0, n, 10)
+    for name, points in tables.items():
+        distance = np.linalg.norm(points[asked][:, None, :] - points[None, :, :], axis=2)
+        distance[np.arange(len(asked)), asked] = np.inf
+        want = np.argsort(distance, axis=1)[:, :k]
+        q, rows, squared = N.Index(points).search(points[asked], asked, k, N.start_radius(points, k))
+        got = [set(rows[q == i][np.argsort(squared[q == i], kind="stable")[:k]]) for i in range(len(asked))]
+        assert np.mean([len(got[i] & set(want[i])) / k for i in range(len(asked))]) >= 0.93, name
