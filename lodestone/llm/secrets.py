@@ -3,8 +3,8 @@
 Every historical version of a path is addressed by the SHA-256 of its content.
 A ledger holds the (blob, rule, rule version) triples that were ever scanned.
 A run scans one copy of each blob, and only with the rule versions that the
-ledger lacks for it, then joins the findings back to every path that holds the
-blob. A changed rule gets a new version and is rescanned alone.
+ledger lacks for it, then joins these findings and those of earlier runs back
+to every path that holds the blob. A changed rule gets a new version and is rescanned alone.
 """
 
 from __future__ import annotations
@@ -80,9 +80,14 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return blobs.withColumn("_low", lowered).select("blob", F.inline(every))
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, reported: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Scan versions(doc_id, source, text, ...) and return (findings by path, additions to the ledger).
 
+    `reported` holds the findings of the runs that filled the ledger, as scan()
+    returned them; keep them with it. They are joined to the paths of this run
+    together with the new ones, so that a new path with a known blob is reported
+    too. Of a rule whose version changed, the new version's findings alone count.
+
     Findings: doc_id, source, blob, rule, rule_version, ordinal (1, 2, ... within
     blob and rule), secret_sha256, secret_chars; secrets themselves never leave
     the scan. Additions: blob, rule, rule_version, one row per scanned pair.
@@ -90,9 +95,9 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 
     Null texts have no blob and no finding; an empty text is a blob without
     findings. Null ids and sources stay null in the findings. Repeated rows
-    repeat their findings. Findings of a pair that the ledger already holds were
-    reported when it was scanned and don't come again. An empty table gives two
-    empty results. Other columns are not read.
+    repeat their findings. With a ledger but without `reported`, only findings of
+    pairs that this run scanned are returned. An empty table gives two empty
+    results. Other columns are not read.
     """
     paths = versions.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.col("text").alias("content"))
     paths = paths.withColumn("blob", blob_id(F.col("content")))
@@ -105,6 +110,11 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
         F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("blob") == F.col("_blob")),
     )
     found = materialise(scan_blobs(texts.select("blob", "content", "todo"), rules).distinct(), "findings")
+    if reported is not None:
+        current = F.lit(False)
+        for r in rules:
+            current = current | ((F.col("rule") == r.name) & (F.col("rule_version") == r.version))
+        found = found.unionByName(reported.where(current).select(found.columns)).distinct()
     additions = todo.select("blob", F.explode("todo").alias("rule"))
     versions_of = F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.version)])
     return index.join(found, "blob").select("doc_id", "source", "blob", "rule", "rule_version", "ordinal", "secret_sha256", "secret_chars"), additions.withColumn("rule_version", versions_of[F.col("rule")])

@@ -37,3 +37,16 @@ def test_redact_keeps_rows_columns_and_clean_texts(spark):
 def test_empty(spark):
     found, seen = secrets.scan(spark.createDataFrame([], SCHEMA))
     assert found.count() == 0 and seen.count() == 0
+
+
+def test_a_new_path_with_a_known_blob_is_reported(spark):
+    docs = rows(spark, (1, "a", f"x {KEY}"), (2, "a", "password = hunter2hunter"))
+    found, seen = (x.persist() for x in secrets.scan(docs))
+    more = docs.unionByName(rows(spark, (9, "c", f"x {KEY}"), (10, "c", f"new {KEY}")))
+    again, added = secrets.scan(more, seen, reported=found)
+    assert sorted((r.doc_id, r.rule) for r in again.collect()) == [(1, "aws_access_key"), (2, "password"), (9, "aws_access_key"), (10, "aws_access_key")]
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, secrets.scan(more)[0].collect()))
+    assert added.count() == len(secrets.RULES)
+    newer = tuple(replace(r, version=9) if r.name == "password" else r for r in secrets.RULES)
+    again, _ = secrets.scan(more, seen.unionByName(added), newer, again)
+    assert {(r.rule, r.rule_version) for r in again.collect() if r.doc_id == 2} == {("password", 9)} and again.count() == 4
