@@ -28,16 +28,17 @@ class Rule:
     hints: tuple[str, ...]
 
 
+# patterns take a secret to its end, whatever its length; a key without an END line goes to the end of the text
 RULES = (
     Rule("aws_access_key", 1, r"(?:AKIA|ASIA)[0-9A-Z]{16}", ("akia", "asia")),
-    Rule("github_token", 1, r"gh[pousr]_[0-9A-Za-z]{36,255}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
-    Rule("slack_token", 1, r"xox[abprs]-[0-9A-Za-z-]{10,200}", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
+    Rule("github_token", 2, r"gh[pousr]_[0-9A-Za-z]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    Rule("slack_token", 2, r"xox[abprs]-[0-9A-Za-z-]{10,}", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
     Rule("google_api_key", 1, r"AIza[0-9A-Za-z_-]{35}", ("aiza",)),
     Rule("json_web_token", 1, r"eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}", ("eyj",)),
-    Rule("private_key", 1, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", ("private key-----",)),
-    Rule("password", 1, r"(?i)pass(?:word|wd)[ ]?[:=][ ]?[\"']?[0-9A-Za-z_!@#$%^&*+/.-]{8,200}", ("password", "passwd")),
-    Rule("assigned_token", 1, r"(?i)(?:token|secret|api[_-]?key)[ ]?[:=][ ]?[\"']?[0-9A-Za-z_+/=.-]{16,200}", ("token", "secret", "api")),
-    Rule("url_credentials", 1, r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/:@]{1,100}@[0-9A-Za-z.-]+", ("://",)),
+    Rule("private_key", 2, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[\s\S]*?(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----|\z)", ("private key-----",)),
+    Rule("password", 3, r"(?i)pass(?:word|wd)[ ]?[:=][ ]?[\"']?[0-9A-Za-z_!@#$%^&*+/.-]{8,}", ("password", "passwd")),
+    Rule("assigned_token", 2, r"(?i)(?:token|secret|api[_-]?key)[ ]?[:=][ ]?[\"']?[0-9A-Za-z_+/=.-]{16,}", ("token", "secret", "api")),
+    Rule("url_credentials", 2, r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/:@]+@[0-9A-Za-z.-]+", ("://",)),
 )
 
 
@@ -120,17 +121,46 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     return index.join(found, "blob").select("doc_id", "source", "blob", "rule", "rule_version", "ordinal", "secret_sha256", "secret_chars"), additions.withColumn("rule_version", versions_of[F.col("rule")])
 
 
+def _spans(rule: Rule, text, lowered):
+    """array<struct<start, end>> of what the rule finds in text, from 1, end exclusive, in order.
+
+    A match is the first occurrence of its text behind the match before it, as
+    no pattern looks at what precedes it.
+    """
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+
+    def add(spans, m):
+        behind = F.when(F.size(spans) > 0, F.element_at(spans, -1)["end"]).otherwise(F.lit(1))
+        start = F.call_function("locate", m, text, behind)
+        return F.concat(spans, F.array(F.struct(start.alias("start"), (start + F.char_length(m)).alias("end"))))
+
+    hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    return F.when(_hit(rule, lowered), F.aggregate(hits, empty, add)).otherwise(empty)
+
+
+def _redacted(text, rules: tuple[Rule, ...], mark: str):
+    """text with the union of the spans of all rules replaced; spans that overlap become one mark."""
+    lowered = F.lower(text)
+    spans = F.array_sort(F.concat(*[_spans(r, text, lowered) for r in rules]))
+    begin = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+
+    def add(s, x):
+        apart = F.concat(s["out"], F.substring(text, s["at"], x["start"] - s["at"]), F.lit(mark))
+        return F.struct(F.when(x["start"] >= s["at"], apart).otherwise(s["out"]).alias("out"), F.greatest(s["at"], x["end"]).alias("at"))
+
+    return F.aggregate(spans, begin, add, lambda s: F.concat(s["out"], F.substring(text, s["at"], F.char_length(text))))
+
+
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret that scan() finds replaced by `mark` and n_chars set to the new length.
 
-    All rows and columns stay. Rows without a finding are returned as they are;
+    The rules all read the original text; findings that overlap are replaced by
+    one mark. All rows and columns stay. Rows without a finding are returned as they are;
     null texts stay null.
     """
     found, _ = scan(docs, None, rules)
     flagged = found.select(F.col("doc_id").alias("_flagged")).distinct()
-    text, lowered = F.col("text"), F.lower(F.col("text"))
-    for r in rules:
-        text = F.when(_hit(r, lowered), F.regexp_replace(text, r.pattern, mark.replace("$", "\\$"))).otherwise(text)
+    text = _redacted(F.col("text"), rules, mark)
     joined = docs.join(flagged.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_flagged")), "left")
     # two finished columns, then the swap: the row keeps its column order
     changed = joined.withColumn("_new", F.when(F.col("_flagged").isNotNull() | F.col("doc_id").isNull(), text).otherwise(F.col("text")))

@@ -50,3 +50,22 @@ def test_a_new_path_with_a_known_blob_is_reported(spark):
     newer = tuple(replace(r, version=9) if r.name == "password" else r for r in secrets.RULES)
     again, _ = secrets.scan(more, seen.unionByName(added), newer, again)
     assert {(r.rule, r.rule_version) for r in again.collect() if r.doc_id == 2} == {("password", 9)} and again.count() == 4
+
+
+def test_secrets_are_taken_whole(spark):
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nMIIEow{}\nAAAA\n-----END RSA PRIVATE KEY-----"
+    long = "Zq9" * 100
+    texts = {
+        1: (f"é x {pem.format(1)} y {pem.format(2)} z", "é x [SECRET] y [SECRET] z"),
+        2: (f"cut {pem.format(1)[:45]}\n", "cut [SECRET]"),
+        3: (f"secret = {long}1;", "[SECRET];"),
+        4: (f"secret = {long}2;", "[SECRET];"),
+        5: (f"xoxb-{long} ghp_{long} password={long}", "[SECRET] [SECRET] [SECRET]"),
+        6: (f"to https://{long}:{long}@host.org/x", "to [SECRET]/x"),
+        7: (f"\U0001f511 api_key={KEY}tail00 {KEY}{KEY} $", "\U0001f511 [SECRET] [SECRET][SECRET] $"),
+    }
+    docs = rows(spark, *[(i, "a", before) for i, (before, _) in texts.items()])
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == {i: after for i, (_, after) in texts.items()}
+    found = [r for r in secrets.scan(docs)[0].collect() if r.rule in ("private_key", "assigned_token")]
+    hashes = [r.secret_sha256 for r in found if r.doc_id in (1, 3, 4)]
+    assert len(hashes) == len(set(hashes)) == 4
