@@ -12,8 +12,11 @@ a vector falls into the share 0.68 of the windows on average and so into 28 of
 40 only every other time; at 1.25 times its distance into 0.79 of them, and into
 28 of 40 with probability 0.94, whatever the data look like.
 
-Vectors meet in pairs of blocks, a block of queries with a block of data, so a
-task's memory is bounded; the best k of all blocks are merged at the end.
+A stated set of queries meets all rows, a block of queries with a block of rows,
+so a task's memory is bounded; the best k of all blocks are merged at the end.
+Work and shuffle grow as queries times rows: with few dimensions less of a row
+block falls into the windows, with many nearly all of it does, and no index
+changes that.
 """
 
 from __future__ import annotations
@@ -35,9 +38,9 @@ class Index:
     def __init__(self, data: np.ndarray, projections: int = 40, seed: int = 11):
         self.data = data
         self.lines = np.random.default_rng(seed).standard_normal((projections, data.shape[1]))
-        values = data @ self.lines.T
-        self.order = np.argsort(values, axis=0, kind="stable").astype(np.int32)
-        self.values = np.take_along_axis(values, self.order, axis=0)
+        self.placed = np.ascontiguousarray((data @ self.lines.T).T)
+        self.order = np.argsort(self.placed, axis=1, kind="stable").astype(np.int32)
+        self.values = np.take_along_axis(self.placed, self.order, axis=1)
         self.norms = (data**2).sum(axis=1)
 
     def search(self, queries: np.ndarray, skip: np.ndarray, k: int, radius: float, width: float = 2.0, share: float = 0.7, grow: float = 1.25, margin: float = 1.25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,6 +48,10 @@ class Index:
 
         `radius` is where the windows start: half-width radius * width / 2. The
         last widening goes to `margin` times the k-th distance and no further.
+        Rows that tie with the k-th are returned too.
+
+        A widening adds one to the counts of the rows on its flanks, or, where the
+        flanks hold much of the block, counts the windows of every row again.
         """
         n, m = len(self.data), len(self.lines)
         need = int(np.ceil(share * m))
@@ -52,36 +59,44 @@ class Index:
         centre = queries @ self.lines.T
         counts = np.zeros(n, np.uint8 if m < 256 else np.uint16)
         verified = np.zeros(n, bool)
-        orders = [np.ascontiguousarray(self.order[:, j]) for j in range(m)]
-        arrays = [np.ascontiguousarray(self.values[:, j]) for j in range(m)]
-        middle = [np.searchsorted(a, centre[:, j]).tolist() for j, a in enumerate(arrays)]
+        gap, inside = np.empty(n), np.empty(n, bool)
+        middle = np.stack([a.searchsorted(centre[:, j]) for j, a in enumerate(self.values)], axis=1)
         for q in range(len(queries)):
             counts[:] = 0
             verified[:] = False
-            lo = [x[q] for x in middle]
-            hi = list(lo)
+            lo, hi = middle[q].copy(), middle[q].copy()
             r = radius
-            seen = np.zeros(0, np.int64)
-            dist = np.zeros(0)
+            seen, dist, every = np.zeros(0, np.int64), np.zeros(0), None
             own = int(skip[q])
             while True:
                 half = r * width / 2
-                for j in range(m):
-                    a, c = arrays[j], centre[q, j]
-                    left, right = int(a.searchsorted(c - half)), int(a.searchsorted(c + half, side="right"))
-                    if left < lo[j]:
-                        counts[orders[j][left : lo[j]]] += 1
-                        lo[j] = left
-                    if right > hi[j]:
-                        counts[orders[j][hi[j] : right]] += 1
-                        hi[j] = right
+                left = np.array([a.searchsorted(c - half) for a, c in zip(self.values, centre[q])])
+                right = np.array([a.searchsorted(c + half, side="right") for a, c in zip(self.values, centre[q])])
+                left, right = np.minimum(left, lo), np.maximum(right, hi)
+                if 12 * int((lo - left + right - hi).sum()) > m * n:
+                    counts[:] = 0
+                    for j in range(m):
+                        np.subtract(self.placed[j], centre[q, j], out=gap)
+                        np.abs(gap, out=gap)
+                        np.less_equal(gap, half, out=inside)
+                        counts += inside.view(np.uint8)
+                else:
+                    for j in range(m):
+                        counts[self.order[j, left[j] : lo[j]]] += 1
+                        counts[self.order[j, hi[j] : right[j]]] += 1
+                lo, hi = left, right
                 found = np.flatnonzero(counts >= need)
                 if len(found) > len(seen):
                     fresh = found[~verified[found]]
                     verified[fresh] = True
-                    gap = self.data[fresh] - queries[q]
-                    seen = np.concatenate([seen, fresh])
-                    dist = np.concatenate([dist, np.einsum("ij,ij->i", gap, gap)])
+                    if every is None and 6 * len(fresh) > n:  # the distances of many at once
+                        every = np.maximum(self.norms + queries[q] @ queries[q] - 2 * (self.data @ queries[q]), 0)
+                    if every is None:
+                        step = self.data[fresh] - queries[q]
+                        found_at = np.einsum("ij,ij->i", step, step)
+                    else:
+                        found_at = every[fresh]
+                    seen, dist = np.concatenate([seen, fresh]), np.concatenate([dist, found_at])
                 others = seen != own
                 known = dist[others]
                 if len(known) >= n - (0 <= own < n):
@@ -90,29 +105,28 @@ class Index:
                 goal = margin * float(np.sqrt(np.partition(known, k - 1)[k - 1])) if len(known) >= k else np.inf
                 if goal <= r:
                     break
-                if all(x == 0 for x in lo) and all(x == n for x in hi):
+                if (lo == 0).all() and (hi == n).all():
                     break
                 r = min(r * grow, goal)
             rows, d = seen[others], dist[others]
-            if len(rows) > 4 * k:
-                best = np.argpartition(d, 4 * k)[: 4 * k]
-                edge = d[best].max()
-                best = np.flatnonzero(d <= edge)
-                rows, d = rows[best], d[best]
+            if len(rows) > k:
+                edge = np.partition(d, k - 1)[k - 1]
+                rows = rows[d <= edge + 1e-9 * (1 + edge + self.norms.max())]  # ties, and rounding of the distances of many
+            step = self.data[rows] - queries[q]
             out_q.append(np.full(len(rows), q))
             out_d.append(rows)
-            out_s.append(d)
+            out_s.append(np.einsum("ij,ij->i", step, step))
         return np.concatenate(out_q), np.concatenate(out_d), np.concatenate(out_s)
 
 
 def start_radius(data: np.ndarray, k: int, probes: int = 64) -> float:
-    """A radius below that of the k nearest: half the median distance of some rows to their k-th neighbour in the block."""
+    """A radius below that of the k nearest: 0.8 of the median distance of some rows to their k-th neighbour in the block."""
     if len(data) < 2:
         return 1.0
     picked = data[np.linspace(0, len(data) - 1, min(probes, len(data))).astype(int)]
     d = np.maximum((picked**2).sum(1)[:, None] + (data**2).sum(1)[None, :] - 2 * picked @ data.T, 0)
     kth = np.partition(d, min(k, len(data) - 1), axis=1)[:, min(k, len(data) - 1)]
-    return float(max(0.5 * np.sqrt(np.median(kth)), 1e-6))
+    return float(max(0.8 * np.sqrt(np.median(kth)), 1e-6))
 
 
 def _block(key: tuple, rows: pd.DataFrame, k: int, projections: int, share: float) -> pd.DataFrame:
@@ -132,8 +146,17 @@ def _block(key: tuple, rows: pd.DataFrame, k: int, projections: int, share: floa
     return frame.groupby("query").head(k) if len(frame) else empty
 
 
-def nearest(vectors: DataFrame, k: int = 10, projections: int = 40, share: float = 0.7, query_rows: int = 4096, data_rows: int = 65_536) -> DataFrame:
-    """vec_id, neighbour_id, distance (Euclidean, 6 places), rank 1..k for every row of vectors(vec_id, embedding, ...).
+def _usable(vectors: DataFrame) -> DataFrame:
+    """row, vec_id, width, vector of the rows that can be compared, each once."""
+    usable = F.col("vector").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x))
+    lean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & usable).distinct()
+    lean = lean.withColumn("width", F.size("vector")).withColumn("row", F.xxhash64("vec_id", "vector"))
+    return lean.select("row", "vec_id", "width", F.col("vector").cast("array<float>").alias("vector") if dict(vectors.dtypes).get("embedding") == "array<float>" else "vector")
+
+
+def nearest(vectors: DataFrame, k: int = 10, projections: int = 40, share: float = 0.7, query_rows: int = 2048, data_rows: int = 16_384, queries: DataFrame | None = None) -> DataFrame:
+    """vec_id, neighbour_id, distance (Euclidean, 6 places), rank 1..k for every row of queries(vec_id, embedding, ...),
+    sought among all rows of vectors(vec_id, embedding, ...); without queries every row of vectors is one.
 
     Equal distances rank by neighbour_id. Rows with a null id, a null or empty
     embedding, or one that holds a null or not-a-number are neither queries nor
@@ -142,20 +165,18 @@ def nearest(vectors: DataFrame, k: int = 10, projections: int = 40, share: float
     never each other's neighbours. With fewer than k others all are returned. An
     empty table gives an empty result. Other columns are not read.
     """
-    usable = F.col("vector").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x))
-    lean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & usable).distinct()
-    lean = lean.withColumn("width", F.size("vector")).withColumn("row", F.xxhash64("vec_id", "vector"))
-    lean = materialise(lean.select("row", "vec_id", "width", F.col("vector").cast("array<float>").alias("vector") if dict(vectors.dtypes).get("embedding") == "array<float>" else "vector"), "vectors")
-    n = lean.count()
-    asks, holds = max(1, -(-n // query_rows)), max(1, -(-n // data_rows))
-    queries = lean.withColumn("qb", F.pmod("row", F.lit(asks)).cast("int")).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(holds - 1)))).withColumn("asks", F.lit(True))
+    lean = materialise(_usable(vectors), "vectors")
+    asked = lean if queries is None else materialise(_usable(queries), "queries")
+    asks, holds = (max(1, -(-t.count() // rows)) for t, rows in ((asked, query_rows), (lean, data_rows)))
+    asking = asked.withColumn("qb", F.pmod("row", F.lit(asks)).cast("int")).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(holds - 1)))).withColumn("asks", F.lit(True))
     data = lean.withColumn("db", F.pmod(F.shiftright("row", 20), F.lit(holds)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(asks - 1)))).withColumn("asks", F.lit(False))
 
     def run(key, rows):
         return _block(key, rows, k, projections, share)
 
-    columns = ["width", "qb", "db", "asks", "row", "vec_id", "vector"]
-    found = queries.select(columns).unionByName(data.select(columns)).groupBy("width", "qb", "db").applyInPandas(run, SCHEMA)
+    kind = lean.schema["vector"].dataType if asked.schema["vector"].dataType == lean.schema["vector"].dataType else "array<double>"
+    columns = ["width", "qb", "db", "asks", "row", "vec_id", F.col("vector").cast(kind).alias("vector")]
+    found = asking.select(columns).unionByName(data.select(columns)).groupBy("width", "qb", "db").applyInPandas(run, SCHEMA)
     order = Window.partitionBy("query").orderBy("distance", "neighbour_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("vec_id", "neighbour_id", F.round("distance", 6).alias("distance"), "rank")

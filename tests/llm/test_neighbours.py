@@ -1,6 +1,7 @@
 import numpy as np
 
 from lodestone.llm import neighbours as N
+from lodestone.llm import queries as Q
 
 SCHEMA = "vec_id long, embedding array<float>, label int, rank int, row string"
 
@@ -22,6 +23,18 @@ def test_recall_over_the_whole_table(spark, sf):
         assert np.mean([len(found[i] & want[i]) / 10 for i in want]) >= 0.9
 
 
+def test_stated_queries_meet_all_rows(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    pdf = rows.toPandas()
+    want = brute(pdf["vec_id"].to_numpy(), np.array(pdf["embedding"].tolist()), 10)
+    got = Q.op10_neighbours(spark, sf).toPandas()
+    assert set(got["vec_id"]) == {i for i in want if i % 20 == 0} and (got.groupby("vec_id").size() == 10).all()
+    assert np.mean([len(set(g["neighbour_id"]) & want[i]) / 10 for i, g in got.groupby("vec_id")]) >= 0.9
+    strangers = spark.createDataFrame([(-1, list(map(float, pdf["embedding"][3])), 0)], "vec_id long, embedding array<double>, label int")
+    near = N.nearest(rows, 3, queries=strangers).collect()
+    assert [r.vec_id for r in near] == [-1] * 3 and near[0].neighbour_id == int(pdf["vec_id"][3]) and near[0].distance < 1e-5
+
+
 def test_distances_are_exact(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet")
     x = dict((r.vec_id, np.array(r.embedding)) for r in rows.collect())
