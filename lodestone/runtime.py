@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -20,6 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set(CHECKPOINT_KEY, named)
     return named
@@ -50,6 +53,22 @@ def materialise(df: DataFrame, name: str = "table", partition_by: list[str] | No
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for x in (f"_{stem}{k or ''}" for k in range(len(taken) + 1)) if x.lower() not in taken)
+
+
+def drop_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows of df, all columns as they are, whose `column` is not among those of the one column of ids; nulls stay.
+
+    ids are hashed to partitions, not broadcast, as they grow with the data.
+    """
+    name = free_name(df, "gone")
+    gone = ids.toDF(name).hint("shuffle_hash")
+    return df.join(gone, F.col(f"`{column}`") == F.col(name), "left_anti")
+
+
 _SHIPPED: set[str] = set()
 
 
