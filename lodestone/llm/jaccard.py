@@ -30,6 +30,7 @@ the texts of the near copies alone a second time.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,15 +40,19 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.text_arrays import chunks, mix, shingles, word_hashes
 from lodestone.operators.components import components
-from lodestone.runtime import materialise
+from lodestone.runtime import drop_ids, materialise
 
 RATIO = 4
-"""A size range spans this factor, beside the smaller partners from below."""
+"""A size range spans this factor, beside the smaller partners from all ranges below."""
 
 
-def groups_of(level: int, group_tokens: int, most: int = 64) -> int:
+_KEYS = 1 << 24
+"""Group numbers of one size range; a range has RATIO**level // group_tokens groups, far fewer for any text."""
+
+
+def groups_of(level: int, group_tokens: int) -> int:
     """Number of universe groups of the size range [4**level, 4**(level + 1))."""
-    return int(min(most, max(1, RATIO**level // group_tokens)))
+    return int(min(_KEYS, max(1, RATIO**level // group_tokens)))
 
 
 def allowed(sizes: np.ndarray, threshold: float) -> np.ndarray:
@@ -91,12 +96,12 @@ def _spread(n: int, threshold: float, group_tokens: int):
                 level += (RATIO ** (level + 1) <= size).astype(np.int64) - (RATIO**level > size).astype(np.int64)
                 owner = np.repeat(np.arange(b - a), size)
                 for k in np.unique(level[size > 0]).tolist():
-                    for at in (k, k + 1):
+                    for at in itertools.count(k):  # the ranges above whose sets it may be near to
                         inside = (level == k) & (size > 0)
                         if at > k:
                             inside &= size >= threshold * RATIO**at - 1e-9
                         if not inside.any():
-                            continue
+                            break
                         many = groups_of(at, group_tokens)
                         mine = inside[owner]
                         t, w = tokens[mine], owner[mine]
@@ -109,7 +114,7 @@ def _spread(n: int, threshold: float, group_tokens: int):
                         for j in range(many):
                             part = np.bincount(w[cut[j] : cut[j + 1]], minlength=b - a)[members]
                             own = j == 0 and at == k
-                            out.append((at * 1000 + j, sid[members].tobytes(), size[members].astype(np.uint32).tobytes(), part.astype(np.uint32).tobytes(), low[cut[j] : cut[j + 1]].tobytes(), ids[a:b][members].tobytes() if own else None))
+                            out.append((at * _KEYS + j, sid[members].tobytes(), size[members].astype(np.uint32).tobytes(), part.astype(np.uint32).tobytes(), low[cut[j] : cut[j + 1]].tobytes(), ids[a:b][members].tobytes() if own else None))
                 if out:
                     yield pd.DataFrame(out, columns=["key", "sid", "size", "part", "tokens", "ids"])
 
@@ -138,16 +143,32 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(int(count.sum())) - np.repeat(base - first, count)
 
 
-def _shared(tokens: np.ndarray) -> np.ndarray:
-    """For each token whether another set holds it too."""
-    key = (tokens.astype(np.uint64) << np.uint64(32)) | np.arange(len(tokens), dtype=np.uint32)
-    key.sort()
-    same = np.zeros(len(key), bool)
-    high = (key >> np.uint64(32)).astype(np.uint32)
-    same[1:] = high[1:] == high[:-1]
-    same[:-1] |= same[1:].copy()
-    out = np.zeros(len(key), bool)
-    out[key[same].astype(np.uint32)] = True
+def _shared(tokens: np.ndarray, slices: int = 16) -> np.ndarray:
+    """For each token whether another set holds it too; in slices of the token range, so that little is held beside them."""
+    out = np.zeros(len(tokens), bool)
+    part = (tokens >> np.uint32(28)).astype(np.uint8)
+    for k in range(slices):
+        at = np.flatnonzero(part == k).astype(np.uint32)
+        key = tokens[at].astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= at
+        key.sort()
+        high = (key >> np.uint64(32)).astype(np.uint32)
+        same = np.zeros(len(key), bool)
+        same[1:] = high[1:] == high[:-1]
+        same[:-1] |= same[1:].copy()
+        out[key[same].astype(np.uint32)] = True
+    return out
+
+
+def _parities(n: int, owner: np.ndarray, value: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """4 words for each set: the parity of its elements in each of 256 cells."""
+    out, ends = np.empty((4, n), np.uint64), np.cumsum(part)
+    for a in range(0, n, 4096):
+        b = min(n, a + 4096)
+        x, y = int(ends[a] - part[a]), int(ends[b - 1])
+        cells = np.bincount((owner[x:y] - a) * 256 + (value[x:y] >> np.uint64(56)).astype(np.int64), minlength=(b - a) * 256).astype(np.uint8) & 1
+        out[:, a:b] = np.packbits(cells.reshape(b - a, 256), axis=1).view(np.uint64).T
     return out
 
 
@@ -165,7 +186,7 @@ def local_pairs(size: np.ndarray, part: np.ndarray, tokens: np.ndarray, groups:
         if not len(alive):
             return forest.root
         owner = np.repeat(np.arange(len(alive), dtype=np.int32), part[alive])
-        unshared = part[alive] - np.bincount(owner[_shared(tokens)], minlength=len(alive))
+        unshared = part[alive] - np.bincount(owner[np.flatnonzero(_shared(tokens))], minlength=len(alive))
         room = rate * size[alive]
         least = part[alive] - room
         step = np.log(1.05)
@@ -189,8 +210,7 @@ def local_pairs(size: np.ndarray, part: np.ndarray, tokens: np.ndarray, groups:
 
     common = np.bincount(owner[_shared(tokens)], minlength=n)
     # parity of the elements in each of 256 cells: two parts differ in at least as many elements as cells
-    cells = np.bincount(owner * 256 + (value >> np.uint64(56)).astype(np.int64), minlength=n * 256).astype(np.uint8) & 1
-    parity = np.packbits(cells.reshape(n, 256), axis=1).view(np.uint64).T.copy()
+    parity = _parities(n, owner, value, part)
 
     def limits(a, b):
         return np.floor(allowed(size[a] + size[b], threshold) / groups + 1e-9)
@@ -300,7 +320,7 @@ def _match(threshold: float, group_tokens: int):
     """Blobs of one (range, group) -> rows (kind, a, b, size): 0 for an edge between sets, 1 for (set, document)."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        level = int(key[0]) // 1000
+        level = int(key[0]) // _KEYS
         sid = np.frombuffer(b"".join(rows["sid"]), np.uint64)
         size = np.frombuffer(b"".join(rows["size"]), np.uint32).astype(np.int64)
         part = np.frombuffer(b"".join(rows["part"]), np.uint32).astype(np.int64)
@@ -310,13 +330,13 @@ def _match(threshold: float, group_tokens: int):
         if len(known):
             s, d, z = (np.frombuffer(b"".join(known[c]), kind) for c, kind in (("sid", np.int64), ("ids", np.int64), ("size", np.uint32)))
             out.append(pd.DataFrame({"kind": 1, "a": s, "b": d, "size": z.astype(np.int32)}))
-        sids, first = np.unique(sid, return_index=True)
-        start = np.cumsum(part) - part
+        _, first = np.unique(sid, return_index=True)
         if len(first) < len(sid):
-            tokens = tokens[_ranges(start[first], part[first])]
-        else:
-            order = np.argsort(first)
-            sids, first = sids[order], first[order]
+            one = np.zeros(len(sid), bool)
+            one[first] = True
+            tokens = tokens[np.repeat(one, part)]
+        first.sort()
+        sids = sid[first]
         root = local_pairs(size[first], part[first], tokens, groups_of(level, group_tokens), threshold)
         child = np.flatnonzero(root != np.arange(len(root)))
         ids = sids.view(np.int64)
@@ -415,55 +435,65 @@ def _sets(n: int):
     return run
 
 
-def _matched(docs: DataFrame, n: int, threshold: float, group_tokens: int, unit_tokens: int, forest: bool) -> tuple[DataFrame, DataFrame]:
+def _matched(docs: DataFrame, n: int, threshold: float, group_tokens: int, unit_tokens: int, unit_sets: int, forest: bool) -> tuple[DataFrame, DataFrame]:
     """(members(doc_id, sid), verified(a, b, jaccard) between sets)."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("threshold must be in (0, 1] and n at least 1")
     spark = docs.sparkSession
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null and text is not null")
-    blobs = lean.mapInPandas(_spread(n, threshold, group_tokens), "key int, sid binary, size binary, part binary, tokens binary, ids binary")
+    blobs = lean.mapInPandas(_spread(n, threshold, group_tokens), "key long, sid binary, size binary, part binary, tokens binary, ids binary")
     found = materialise(blobs.groupBy("key").applyInPandas(_match(threshold, group_tokens), "kind int, a long, b long, size int"), "matches")
     members = found.where("kind = 1").select(F.col("b").alias("doc_id"), F.col("a").alias("sid")).distinct()
     labels = components(found.where("kind = 0"))
-    held = found.where("kind = 1").select(F.col("b").alias("_doc"), F.col("a").alias("sid"), "size")
-    first = held.join(labels, F.col("sid") == F.col("node")).groupBy("sid", "label").agg(F.min("_doc").alias("_doc"), F.max("size").alias("size"))
-    # a component of many elements is verified in pairs of blocks, each a bounded piece of work
-    blocks = first.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / unit_tokens)).cast("int").alias("blocks"))
-    placed = first.join(blocks, "label").select("label", "sid", "_doc", "blocks", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"))
+    named = found.where("kind = 1").select(F.col("b").alias("_doc"), F.col("a").alias("sid"), "size")
+    first = named.join(labels, F.col("sid") == F.col("node")).groupBy("sid", "label").agg(F.min("_doc").alias("_doc"), F.max("size").alias("size"))
+    # a component of many elements or sets is verified in pairs of blocks, each a bounded piece of work
+    blocks = first.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / unit_tokens), F.ceil(F.count("*") / unit_sets)).cast("int").alias("blocks"))
+    placed = first.join(blocks, "label").select("label", "sid", "_doc", "size", "blocks", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"))
     placed = materialise(placed, "placed")
     texts = lean.join(placed.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc")).select("label", "sid", "blocks", "block", "text")
     units = texts.mapInPandas(_sets(n), "label long, low int, high int, block int, sid long, size int, tokens binary")
-    spread = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = placed.agg(F.coalesce(F.sum(F.col("size") * F.col("blocks")), F.lit(0))).first()[0]
+    spread = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // unit_tokens))
     units = units.withColumn("bucket", F.pmod(F.xxhash64("label", "low", "high"), F.lit(spread)))
     return members, units.groupBy("bucket").applyInPandas(_verify(threshold, forest), "a long, b long, jaccard double")
 
 
-def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.55, group_tokens: int = 64, unit_tokens: int = 2_000_000) -> DataFrame:
-    """doc_id_a < doc_id_b and jaccard (rounded to 6 places) of all pairs of docs(doc_id, text, ...) with Jaccard >= threshold.
+def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.55, group_tokens: int = 64, unit_tokens: int = 2_000_000, unit_sets: int = 1500) -> DataFrame:
+    """doc_id_a < doc_id_b and jaccard (rounded to 6 places) of the documents of docs(doc_id, text, ...) with Jaccard >= threshold.
 
     A set holds the distinct n-grams of lower-cased words (runs of letters,
     digits, underscores and non-ASCII characters); a text of fewer than n words
-    is one n-gram. Equal texts are pairs with 1.0, however many there are.
+    is one n-gram. Documents with the same set form a class, represented by its
+    lowest id. The result holds every pair of representatives that is near
+    enough, and the membership of every other document: the pair of its
+    representative and itself, with 1.0. Two documents are near by what their
+    representatives are.
 
     Null ids, null texts and texts without a word pair with nothing. Repeated
-    rows count once; rows that share an id but not the text pair with others by
-    the higher value and never with each other. An empty table gives an empty
-    result. Other columns are not read.
+    rows count once; rows that share an id but not the text belong to a class
+    each, pair with others by the higher value and never with each other. An
+    empty table gives an empty result. Other columns are not read.
     """
-    members, verified = _matched(docs, n, threshold, group_tokens, unit_tokens, forest=False)
-    verified = materialise(verified, "pairs")
-    left, right = (members.select(F.col("doc_id").alias(f"d{x}"), F.col("sid").alias(f"s{x}")) for x in "ab")
+    members, verified = _matched(docs, n, threshold, group_tokens, unit_tokens, unit_sets, forest=False)
+    members, verified = materialise(members, "members"), materialise(verified, "pairs")
+    classes = members.groupBy("sid").agg(F.min("doc_id").alias("rep"))
+    left, right = (classes.select(F.col("rep").alias(f"d{x}"), F.col("sid").alias(f"s{x}")) for x in "ab")
     near = verified.join(left, F.col("a") == F.col("sa")).join(right, F.col("b") == F.col("sb")).select("da", "db", "jaccard")
-    same = left.join(right, (F.col("sa") == F.col("sb")) & (F.col("da") < F.col("db"))).select("da", "db", F.lit(1.0).alias("jaccard"))
+    same = members.join(classes, "sid").where("doc_id <> rep").select(F.col("rep").alias("da"), F.col("doc_id").alias("db"), F.lit(1.0).alias("jaccard"))
     # each pair of documents comes once, as each document has one set, unless ids repeat
     pairs = near.unionByName(same).where("da <> db").select(F.least("da", "db").alias("doc_id_a"), F.greatest("da", "db").alias("doc_id_b"), F.round("jaccard", 6).alias("jaccard"))
     repeats = members.groupBy("doc_id").count().where("count > 1").limit(1).count()
     return pairs.groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard")) if repeats else pairs
 
 
-def near_copies(docs: DataFrame, n: int = 3, threshold: float = 0.55, group_tokens: int = 64, unit_tokens: int = 2_000_000) -> DataFrame:
-    """(doc_id, keeper) of every document that similar_pairs() connects, directly or through others, to a document of lower id."""
-    members, verified = _matched(docs, n, threshold, group_tokens, unit_tokens, forest=True)
+def near_copies(docs: DataFrame, n: int = 3, threshold: float = 0.55, group_tokens: int = 64, unit_tokens: int = 2_000_000, unit_sets: int = 1500) -> DataFrame:
+    """(doc_id, keeper) of every document that similar_pairs() connects, directly or through others, to a document of lower id.
+
+    Null ids, null texts, texts without a word, repeated rows, very long texts,
+    an empty table and other columns are treated as there.
+    """
+    members, verified = _matched(docs, n, threshold, group_tokens, unit_tokens, unit_sets, forest=True)
     labels = components(verified.select("a", "b"))
     grouped = members.join(labels, F.col("sid") == F.col("node"), "left").select("doc_id", F.coalesce("label", "sid").alias("label"))
     keeper = grouped.groupBy("label").agg(F.min("doc_id").alias("keeper"))
@@ -471,6 +501,10 @@ def near_copies(docs: DataFrame, n: int = 3, threshold: float = 0.55, group_toke
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns as they are, less those near_copies() names. Rows with null ids or without words stay."""
-    gone = near_copies(docs, **options).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows of docs, all columns as they are, less those near_copies() names.
+
+    Rows with null ids or without words stay, as do all rows of an id that stays
+    (repeated rows are one document). An empty table gives an empty result.
+    """
+    gone = near_copies(docs, **options)
+    return drop_ids(docs, gone.select("doc_id"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.text_arrays import chunks, line_repeats
-from lodestone.runtime import materialise
+from lodestone.runtime import drop_ids, materialise
 
 FEATURES = ("letters", "upper", "digits", "symbols", "bars", "bangs", "lines", "word_length", "repeated_lines", "log_length")
 
@@ -185,7 +185,8 @@ def reject(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold:
     """The rows of docs, all columns as they are, that assess() keeps.
 
     Rows that share an id stay if one of them is kept. Rows with a null id are
-    kept.
+    kept. Null, empty and very long texts and an empty table are treated as
+    there.
     """
-    bad = assess(docs, labels, sample, threshold).where("doc_id is not null").groupBy(F.col("doc_id").alias("_bad")).agg(F.max("keep").alias("_keep")).where("_keep = 0")
-    return docs.join(bad.select("_bad").hint("shuffle_hash"), F.col("doc_id") == F.col("_bad"), "left_anti")
+    bad = assess(docs, labels, sample, threshold).where("doc_id is not null").groupBy("doc_id").agg(F.max("keep").alias("keep")).where("keep = 0")
+    return drop_ids(docs, bad.select("doc_id"))

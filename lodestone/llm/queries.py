@@ -96,13 +96,16 @@ with words as (
 ), grams as (
   select doc_id, list_distinct(case when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g
   from words where len(w) > 0
+), classes as (
+  select min(doc_id) as rep, g, len(g) as size from (select doc_id, list_sort(g) as g from grams) group by g
 ), flat as (
-  select doc_id, len(g) as size, unnest(g) as gram from grams
+  select rep, size, unnest(g) as gram from classes
 ), shared as (
-  select a.doc_id as doc_id_a, b.doc_id as doc_id_b, any_value(a.size) as sa, any_value(b.size) as sb, count(*) as common
-  from flat a join flat b on a.gram = b.gram and a.doc_id < b.doc_id group by 1, 2
+  select a.rep as doc_id_a, b.rep as doc_id_b, any_value(a.size) as sa, any_value(b.size) as sb, count(*) as common
+  from flat a join flat b on a.gram = b.gram and a.rep < b.rep group by 1, 2
 )
 select doc_id_a, doc_id_b, round(common / cast(sa + sb - common as double), 6) as jaccard from shared where common / cast(sa + sb - common as double) >= 0.55 - 1e-12
+union all select rep, doc_id, 1.0 from grams join classes on list_sort(grams.g) = classes.g where doc_id <> rep
 """
 
 ORACLES = {"op2_secrets": _secret_sql(), "op9_jaccard": _JACCARD_SQL}

@@ -15,11 +15,16 @@ def grams(text, n=3):
 
 
 def brute(rows, threshold, n=3):
-    sets = [(i, grams(t, n)) for i, t in rows if i is not None and t]
-    out = {}
-    for k, (a, x) in enumerate(sets):
-        for b, y in sets[k + 1 :]:
-            if a != b and x and y and len(x & y) / len(x | y) >= threshold - 1e-12:
+    """Pairs of class representatives, and (representative, member, 1) of every other member."""
+    classes = {}
+    for i, t in rows:
+        if i is not None and t and grams(t, n):
+            classes.setdefault(frozenset(grams(t, n)), set()).add(i)
+    out = {(min(ids), i): 1.0 for ids in classes.values() for i in ids if i != min(ids)}
+    reps = [(min(ids), x) for x, ids in classes.items()]
+    for k, (a, x) in enumerate(reps):
+        for b, y in reps[k + 1 :]:
+            if a != b and len(x & y) / len(x | y) >= threshold - 1e-12:
                 out[min(a, b), max(a, b)] = max(out.get((min(a, b), max(a, b)), 0), round(len(x & y) / len(x | y), 6))
     return out
 
@@ -41,10 +46,33 @@ def found(spark, rows, **options):
     return {(r.doc_id_a, r.doc_id_b): r.jaccard for r in J.similar_pairs(df, **options).collect()}
 
 
-@pytest.mark.parametrize("seed,threshold,unit", [(0, 0.55, 2_000_000), (1, 0.8, 40), (2, 0.3, 300)])
-def test_all_pairs_against_brute_force(spark, seed, threshold, unit):
+@pytest.mark.parametrize("seed,threshold,unit,sets", [(0, 0.55, 2_000_000, 1500), (1, 0.8, 40, 1500), (2, 0.3, 300, 5), (3, 0.15, 2_000_000, 3)])
+def test_all_pairs_against_brute_force(spark, seed, threshold, unit, sets):
     rows = texts(seed)
-    assert found(spark, rows, threshold=threshold, unit_tokens=unit, group_tokens=2) == brute(rows, threshold)
+    assert found(spark, rows, threshold=threshold, unit_tokens=unit, unit_sets=sets, group_tokens=2) == brute(rows, threshold)
+
+
+def test_sizes_far_apart(spark):
+    words = [f"w{i}" for i in range(20)]
+    rows = [(1, " ".join(words[:5])), (2, " ".join(words[:18]))]  # 3 of 16 n-grams
+    assert found(spark, rows, threshold=0.15) == {(1, 2): 0.1875} == brute(rows, 0.15)
+
+
+def test_near_copies_are_the_groups_of_pairs(spark):
+    rows = texts(5)
+    group = {i: i for i, _ in rows}
+    for a, b in brute(rows, 0.55):
+        x, y = group[a], group[b]
+        group = {i: min(x, y) if g in (x, y) else g for i, g in group.items()}
+    df = spark.createDataFrame([(i, t, "s", "l", 0.0) for i, t in rows], SCHEMA)
+    got = {r.doc_id: r.keeper for r in J.near_copies(df, group_tokens=2).collect()}
+    assert got == {i: g for i, g in group.items() if g != i} and got
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c", 1, 1, 1), (2, "a b c", 1, 1, 1), (3, "d e", 1, 1, 1)], "doc_id long, text string, _gone int, _GONE1 int, keeper int")
+    kept = J.deduplicate(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
 @pytest.mark.parametrize("seed", range(8))
