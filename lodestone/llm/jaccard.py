@@ -42,7 +42,7 @@ from lodestone.llm.text_arrays import chunks, mix, shingles, word_hashes
 from lodestone.operators.components import components
 from lodestone.runtime import drop_ids, materialise
 
-RATIO = 4
+RATIO = 2
 """A size range spans this factor, beside the smaller partners from all ranges below."""
 
 
@@ -51,7 +51,7 @@ _KEYS = 1 << 24
 
 
 def groups_of(level: int, group_tokens: int) -> int:
-    """Number of universe groups of the size range [4**level, 4**(level + 1))."""
+    """Number of universe groups of the size range [RATIO**level, RATIO**(level + 1))."""
     return int(min(_KEYS, max(1, RATIO**level // group_tokens)))
 
 
@@ -321,15 +321,15 @@ def _match(threshold: float, group_tokens: int):
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         level = int(key[0]) // _KEYS
-        sid = np.frombuffer(b"".join(rows["sid"]), np.uint64)
-        size = np.frombuffer(b"".join(rows["size"]), np.uint32).astype(np.int64)
-        part = np.frombuffer(b"".join(rows["part"]), np.uint32).astype(np.int64)
-        tokens = np.frombuffer(b"".join(rows["tokens"]), np.uint32)
         out = []
         known = rows[rows["ids"].notna()]
         if len(known):
             s, d, z = (np.frombuffer(b"".join(known[c]), kind) for c, kind in (("sid", np.int64), ("ids", np.int64), ("size", np.uint32)))
             out.append(pd.DataFrame({"kind": 1, "a": s, "b": d, "size": z.astype(np.int32)}))
+        del known
+        # the blobs go as they are read: they are most of what the task holds
+        sid, size, part, tokens = (np.frombuffer(b"".join(rows.pop(c)), kind) for c, kind in (("sid", np.uint64), ("size", np.uint32), ("part", np.uint32), ("tokens", np.uint32)))
+        size, part = size.astype(np.int64), part.astype(np.int64)
         _, first = np.unique(sid, return_index=True)
         if len(first) < len(sid):
             one = np.zeros(len(sid), bool)
