@@ -22,8 +22,9 @@ H = (1 - t) / (1 + t) * (|r| + |s|) elements.
    whole sets of a component meet (split into pairs of blocks if it is large)
    and every pair in it is verified by its exact overlap.
 
-Nothing is sampled and no partner list is cut: the result is every pair with
-J >= t. Sets are sets of 64-bit hashes of n-grams; equal sets are handled once
+Nothing is sampled and no partner list is cut: every pair with J >= t is found.
+Results are pairs of class representatives with memberships, or one row for each
+document with its class and number of links; neither expands copies into pairs. Sets are sets of 64-bit hashes of n-grams; equal sets are handled once
 under the hash of the set. What is shuffled is 4 bytes per n-gram and range, and
 the texts of the near copies alone a second time.
 """
@@ -500,6 +501,33 @@ def near_copies(docs: DataFrame, n: int = 3, threshold: float = 0.55, group_toke
     return grouped.join(keeper, "label").where("doc_id <> keeper").groupBy("doc_id").agg(F.min("keeper").alias("keeper"))
 
 
+def near_classes(docs: DataFrame, n: int = 3, threshold: float = 0.55, group_tokens: int = 64, unit_tokens: int = 2_000_000, unit_sets: int = 1500) -> DataFrame:
+    """doc_id, class_id, links: one row for each document of docs(doc_id, text, ...).
+
+    class_id is the lowest id among the documents that it is connected to by
+    pairs with Jaccard >= threshold or by equal sets, directly or through others;
+    links is the number of different sets that its own is near enough to. Every
+    pair is verified; sets are those of similar_pairs().
+
+    Rows with a null id have no row. Null texts and texts without a word are
+    alone: their own class, no link. Repeated rows count once; an id with several
+    texts takes the lowest class of them and the links of all. An empty table
+    gives an empty result. Other columns are not read.
+    """
+    members, verified = _matched(docs, n, threshold, group_tokens, unit_tokens, unit_sets, forest=False)
+    members, verified = materialise(members, "members"), materialise(verified.select("a", "b"), "links")
+    labels = components(verified)
+    links = verified.select(F.explode(F.array("a", "b")).alias("linked")).groupBy("linked").agg(F.count("*").alias("links"))
+    grouped = members.join(labels, F.col("sid") == F.col("node"), "left").join(links, F.col("sid") == F.col("linked"), "left")
+    grouped = grouped.select("doc_id", F.coalesce("label", "sid").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+    classes = grouped.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    placed = grouped.join(classes, "label").select("doc_id", "class_id", "links")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    alone = every.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    # each document's own row is above no class of it and adds no link
+    return placed.unionByName(alone).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
+
+
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns as they are, less those near_copies() names.
 

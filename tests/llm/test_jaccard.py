@@ -69,6 +69,21 @@ def test_near_copies_are_the_groups_of_pairs(spark):
     assert got == {i: g for i, g in group.items() if g != i} and got
 
 
+def test_classes_and_links(spark):
+    rows = [*texts(6), (900, None), (901, ""), (None, "a b c"), (0, texts(6)[0][1])]
+    pairs, group = brute(rows, 0.55), {i: i for i, _ in rows if i is not None}
+    own = {i: frozenset(grams(t)) for i, t in rows if i is not None and t}
+    for a, b in pairs:
+        x, y = group[a], group[b]
+        group = {i: min(x, y) if g in (x, y) else g for i, g in group.items()}
+    reps = [p for p in pairs if own[p[0]] != own[p[1]]]
+    links = {i: sum(own[i] in (own[a], own[b]) for a, b in reps) if i in own else 0 for i in group}
+    df = spark.createDataFrame([(i, t, "s", "l", 0.0) for i, t in rows], SCHEMA)
+    got = {r.doc_id: (r.class_id, r.links) for r in J.near_classes(df, group_tokens=2).collect()}
+    assert got == {i: (group[i], links[i]) for i in group} and max(links.values()) > 1
+    assert J.near_classes(df.limit(0)).count() == 0
+
+
 def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b c", 1, 1, 1), (2, "a b c", 1, 1, 1), (3, "d e", 1, 1, 1)], "doc_id long, text string, _gone int, _GONE1 int, keeper int")
     kept = J.deduplicate(df)
