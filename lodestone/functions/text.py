@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.lexicons import QUESTION_WORDS, STOPWORDS
 
-WORD = r"(?:[\p{IsAlphabetic}\p{N}]\p{M}*)+"
+WORD = r"[\p{IsAlphabetic}\p{N}][\p{IsAlphabetic}\p{N}\p{M}]*"
 
 
 def _words(xs) -> Column:
@@ -26,15 +26,30 @@ def plain_tokens(text: Column) -> Column:
 
 def index_tokens(text: Column) -> Column:
     """plain_tokens of two characters or more that are no stopwords."""
-    stop = _words(STOPWORDS)
-    return F.filter(plain_tokens(text), lambda t: (F.char_length(t) >= 2) & ~F.array_contains(stop, t))
+    return F.filter(plain_tokens(text), lambda t: (F.char_length(t) >= 2) & ~t.isin(*sorted(STOPWORDS)))
+
+
+def term_counts(tokens: Column) -> Column:
+    """array<struct<term, tf>> of a token array in order of term, counted within the row."""
+
+    def once(value: Column, body) -> Column:
+        return F.transform(F.array(value), body)[0]  # a name for a value, which is then computed once
+
+    def starts(a: Column) -> Column:
+        positions = F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.filter(positions, lambda i: (i == 0) | (F.get(a, i) != F.get(a, i - 1)))
+
+    def count(a: Column, at: Column) -> Column:
+        return F.transform(at, lambda s, k: F.struct(F.get(a, s).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(a)) - s).cast("long").alias("tf")))
+
+    return once(F.array_sort(tokens), lambda a: once(starts(a), lambda at: count(a, at)))
 
 
 def keyword_tokens(text: Column) -> Column:
     """Words between white space, with everything but letters, digits, '-' and '_' deleted; short ones, numbers and stopwords go."""
-    stop = _words(STOPWORDS)
-    bare = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\S+"), F.lit(0)), lambda w: F.regexp_replace(w, r"[^\p{IsAlphabetic}\p{N}\p{M}_-]", ""))
-    return F.filter(bare, lambda t: (F.char_length(t) >= 3) & ~F.array_contains(stop, t) & ~t.rlike(r"^\p{N}+$"))
+    bare = F.regexp_replace(F.lower(text), r"(?U)[^\p{IsAlphabetic}\p{N}\p{M}_\-\s]+", "")
+    words = F.regexp_extract_all(bare, F.lit(r"(?U)\S+"), F.lit(0))
+    return F.filter(words, lambda t: (F.char_length(t) >= 3) & ~t.isin(*sorted(STOPWORDS)) & (((t >= "a") & (t < "{")) | ~t.rlike(r"^\p{N}+$")))
 
 
 def word_count(text: Column) -> Column:

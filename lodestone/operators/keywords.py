@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.lexicons import STOPWORDS
-from lodestone.functions.text import keyword_tokens
+from lodestone.functions.text import keyword_tokens, term_counts
+from lodestone.runtime import materialise, sized
+
+VOCABULARY_ROWS = 300_000
+"""Up to so many terms with their frequencies are broadcast."""
 
 
 def corpus_frequencies(documents: DataFrame, text: str = "content") -> DataFrame:
@@ -36,13 +40,18 @@ def keywords(documents: DataFrame, top_k: int, corpus: DataFrame | None = None,
     """
     if top_k <= 0:
         return documents.select(key, F.lit("").alias("term"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    listed = documents.select(key, keyword_tokens(F.col(text)).alias("tokens"))
-    counted = listed.select(key, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    same = corpus is documents
+    tokens = documents.select(key, keyword_tokens(F.col(text)).alias("tokens"))
+    listed = tokens.select(key, F.size("tokens").alias("length"), term_counts(F.col("tokens")).alias("terms"))
+    listed = materialise(listed, "terms") if same else listed  # tokenised once, counted within the row
+    counted = listed.select(key, "length", F.explode("terms").alias("t")).select(key, "length", "t.term", "t.tf")
     if corpus is None:
         counted = counted.withColumn("idf", inverse_document_frequency(F.lit(0), F.lit(None).cast("long")))
     else:
-        size = corpus.agg(F.count("*").alias("documents"))
-        counted = counted.join(corpus_frequencies(corpus, text), "term", "left").crossJoin(F.broadcast(size)).withColumn("idf", inverse_document_frequency(F.col("documents"), F.col("df")))
+        size = (listed if same else corpus).agg(F.count("*").alias("documents"))
+        frequencies = materialise(counted.groupBy("term").agg(F.count("*").alias("df")) if same else corpus_frequencies(corpus, text), "frequencies")
+        frequencies, small = sized(frequencies, VOCABULARY_ROWS)
+        counted = counted.join(small(frequencies), "term", "left").crossJoin(F.broadcast(size)).withColumn("idf", inverse_document_frequency(F.col("documents"), F.col("df")))
     scored = counted.withColumn("score", F.col("tf") / F.col("length") * F.col("idf"))
     order = Window.partitionBy(key).orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select(key, "term", "score", "rank")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.functions.text import plain_tokens
+from lodestone.functions.text import plain_tokens, term_counts
 from lodestone.functions.vectors import bucket, cosine, fnv1a, norm, sign
 
 
@@ -25,7 +25,7 @@ def hash_terms(texts: DataFrame, dimension: int, key: str = "id", text: str = "c
     Only distinct terms are hashed.
     """
     dimension = max(1, dimension)
-    counted = texts.select(key, F.explode(plain_tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    counted = texts.select(key, F.explode(term_counts(plain_tokens(F.col(text)))).alias("t")).select(key, "t.term", "t.tf")
     hashed = counted.select("term").distinct().withColumn("h", fnv1a(F.col("term"))).select("term", bucket(F.col("h"), dimension).alias("bucket"), sign(F.col("h")).alias("sign"))
     return counted.join(hashed, "term").groupBy(key, "bucket").agg(F.sum(F.col("tf") * F.col("sign")).cast("long").alias("value"))
 
@@ -43,18 +43,16 @@ def hash_embedding(tokens: Column, dimension: int, kind: str = "float") -> Colum
 
     @F.pandas_udf(f"array<{kind}>")
     def embed(lists: pd.Series) -> pd.Series:
-        known: dict[str, int] = {}
-        out = []
-        for tokens in lists:
-            v = np.zeros(dimension)
-            for t in tokens if tokens is not None else ():
-                h = known.get(t)
-                if h is None:
-                    h = known[t] = _hash(t)
-                v[h % dimension] += -1.0 if h & 1 else 1.0
-            size = np.sqrt(v @ v)
-            out.append((v / size if size else v).astype(np.float32 if kind == "float" else np.float64))
-        return pd.Series(out)
+        many = np.array([0 if t is None else len(t) for t in lists], np.int64)
+        if not many.sum():
+            return pd.Series([np.zeros(dimension, np.float32 if kind == "float" else np.float64)] * len(lists))
+        codes, words = pd.factorize(np.concatenate([np.asarray(t, object) for t in lists if t is not None and len(t)]))
+        h = np.array([_hash(w) for w in words], np.uint64)
+        cell = np.repeat(np.arange(len(lists)), many) * dimension + (h % np.uint64(dimension)).astype(np.int64)[codes]
+        v = np.bincount(cell, np.where(h & np.uint64(1), -1.0, 1.0)[codes], len(lists) * dimension).reshape(len(lists), dimension)
+        size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        v = np.divide(v, size, out=v, where=size > 0)
+        return pd.Series(list(v.astype(np.float32) if kind == "float" else v))
 
     return embed(tokens)
 

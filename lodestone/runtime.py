@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -36,10 +38,7 @@ def materialise(df: DataFrame, name: str = "table", partition_by: list[str] | No
     when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    path = scratch(spark, name)
     before = spark.conf.get(_CLEANUP_KEY, None)
     spark.conf.set(_CLEANUP_KEY, "true")
     try:
@@ -69,6 +68,33 @@ def drop_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame
     return df.join(gone, F.col(f"`{column}`") == F.col(name), "left_anti")
 
 
+def sized(df: DataFrame, most: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df, and F.broadcast if it has at most `most` rows, else a function that leaves its argument to a shuffled join."""
+    few = df.limit(most + 1).count() <= most
+    return df, F.broadcast if few else lambda x: x
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_folder(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def number_rows(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """df with the column `name`: 0, 1, ... in order of `by`, whose values should differ.
+
+    Rows are range-partitioned, numbered within their partition, and shifted by
+    the sizes of the partitions before, one small row each.
+    """
+    placed = materialise(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()), "placed")
+    sizes = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_part").count().withColumn("_start", F.coalesce(F.sum("count").over(sizes), F.lit(0))).select("_part", "_start")
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*by))
+    return placed.withColumn("_n", within).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_n") - 1).drop("_part", "_start", "_n")
+
+
 _SHIPPED: set[str] = set()
 
 
