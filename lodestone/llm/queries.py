@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import bpe, html_text, jaccard, jpeg, neighbours, packing, quality, quotations, secrets, toxicity
+from lodestone.runtime import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +25,13 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_table(spark, sf_dir, "documents"))[0]
+    # two runs: English documents first, then all; the second scans what the ledger lacks and reports every path
+    docs = _table(spark, sf_dir, "documents")
+    found, added = secrets.scan(docs.where("lang = 'en'"))
+    folder = f"{shared_folder(spark)}/secrets-{uuid.uuid4().hex}"
+    secrets.save(folder, 1, added, found)
+    ledger, reported = secrets.load(spark, folder)
+    return secrets.scan(docs, ledger, reported=reported)[0]
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

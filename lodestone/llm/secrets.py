@@ -4,17 +4,19 @@ Every historical version of a path is addressed by the SHA-256 of its content.
 A ledger holds the (blob, rule, rule version) triples that were ever scanned.
 A run scans one copy of each blob, and only with the rule versions that the
 ledger lacks for it, then joins these findings and those of earlier runs back
-to every path that holds the blob. A changed rule gets a new version and is rescanned alone.
+to every path that holds the blob. A changed rule gets a new version and is
+rescanned alone. Only texts that hold a hint of some rule travel to the scan: the
+others can hold no secret, and their blobs enter the ledger as they are.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.runtime import materialise
+from lodestone.runtime import free_name, materialise
 
 
 @dataclass(frozen=True)
@@ -49,6 +51,13 @@ def _hit(rule: Rule, lowered):
     return test
 
 
+def _any_hit(rules: tuple[Rule, ...], lowered):
+    test = F.lit(False)
+    for r in rules:
+        test = test | _hit(r, lowered)
+    return test
+
+
 def blob_id(content):
     """Content address; null content has none."""
     return F.sha2(content, 256)
@@ -95,8 +104,8 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     A path is (source, doc_id); each of its rows is one version.
 
     Null texts have no blob and no finding; an empty text is a blob without
-    findings. Null ids and sources stay null in the findings. Repeated rows
-    repeat their findings. With a ledger but without `reported`, only findings of
+    findings, texts of any length are read whole. Null ids and sources stay null
+    in the findings. Repeated rows repeat their findings. With a ledger but without `reported`, only findings of
     pairs that this run scanned are returned. An empty table gives two empty
     results. Other columns are not read.
     """
@@ -106,7 +115,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     first = index.groupBy("blob").agg(F.min(F.struct("doc_id", "source")).alias("_at"))
     todo = materialise(unseen(first, ledger, rules).select("blob", F.col("_at.doc_id").alias("_doc"), F.col("_at.source").alias("_source"), "todo"), "unseen")
     # one row of each unseen blob meets its text; the texts are hashed to partitions once, unsorted
-    texts = paths.join(
+    texts = paths.where(_any_hit(rules, F.lower("content"))).join(
         todo.hint("shuffle_hash").select(F.col("blob").alias("_blob"), "_doc", "_source", "todo"),
         F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("blob") == F.col("_blob")),
     )
@@ -151,26 +160,36 @@ def _redacted(text, rules: tuple[Rule, ...], mark: str):
     return F.aggregate(spans, begin, add, lambda s: F.concat(s["out"], F.substring(text, s["at"], F.char_length(text))))
 
 
+def save(folder: str, run: int, additions: DataFrame, findings: DataFrame) -> None:
+    """Keep what a scan of a run added under `folder`, which all executors share; saving a run again replaces it."""
+    columns = ["blob", "rule", "rule_version", "ordinal", "secret_sha256", "secret_chars"]
+    additions.write.mode("overwrite").parquet(f"{folder}/ledger/run={run}")
+    findings.select(columns).distinct().write.mode("overwrite").parquet(f"{folder}/findings/run={run}")
+
+
+def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(ledger, reported) of all runs saved under `folder`, as scan() takes them."""
+    ledger, reported = (spark.read.parquet(f"{folder}/{x}").drop("run") for x in ("ledger", "findings"))
+    return ledger, reported.distinct()
+
+
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret that scan() finds replaced by `mark` and n_chars set to the new length.
+    """docs with every secret that scan() finds replaced by `mark` and n_chars, where there is such a column, set to the new length.
 
-    The rules all read the original text; findings that overlap are replaced by
-    one mark. All rows and columns stay. Rows without a finding are returned as they are;
-    null texts stay null.
+    One pass over each row, nothing is shuffled. The rules all read the original
+    text; findings that overlap are replaced by one mark. All rows and columns
+    stay, repeated rows too. Texts without a finding are returned as they are, of
+    whatever length; null texts stay null. An empty table gives an empty result.
     """
-    found, _ = scan(docs, None, rules)
-    flagged = found.select(F.col("doc_id").alias("_flagged")).distinct()
-    text = _redacted(F.col("text"), rules, mark)
-    joined = docs.join(flagged.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_flagged")), "left")
-    # two finished columns, then the swap: the row keeps its column order
-    changed = joined.withColumn("_new", F.when(F.col("_flagged").isNotNull() | F.col("doc_id").isNull(), text).otherwise(F.col("text")))
-    out = []
+    text, name = F.col("text"), free_name(docs, "redacted")
+    changed = docs.withColumn(name, F.when(_any_hit(rules, F.lower(text)), _redacted(text, rules, mark)).otherwise(text))
+    new, out = F.col(name), []
     for c in docs.columns:
         if c == "text":
-            out.append(F.col("_new").alias("text"))
+            out.append(new.alias("text"))
         elif c == "n_chars":
             kind = docs.schema["n_chars"].dataType
-            out.append(F.when(F.col("_new").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.char_length("_new")).cast(kind).alias("n_chars"))
+            out.append(F.when(new.eqNullSafe(text), F.col("n_chars")).otherwise(F.char_length(new)).cast(kind).alias("n_chars"))
         else:
             out.append(F.col(f"`{c}`"))
     return changed.select(*out)

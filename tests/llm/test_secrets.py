@@ -1,5 +1,7 @@
 from dataclasses import replace
 
+from pyspark.sql import functions as F
+
 from lodestone.llm import secrets
 
 SCHEMA = "doc_id long, source string, text string, blob string, rule string, n_chars long"
@@ -69,3 +71,32 @@ def test_secrets_are_taken_whole(spark):
     found = [r for r in secrets.scan(docs)[0].collect() if r.rule in ("private_key", "assigned_token")]
     hashes = [r.secret_sha256 for r in found if r.doc_id in (1, 3, 4)]
     assert len(hashes) == len(set(hashes)) == 4
+
+
+def test_ledger_is_saved_and_loaded(spark, tmp_path):
+    first = rows(spark, (1, "a", f"x {KEY}"), (2, "a", "password = hunter2hunter"), (3, "a", "clean"))
+    found, added = secrets.scan(first)
+    for _ in range(2):  # a run that is saved again counts once
+        secrets.save(str(tmp_path), 1, added, found)
+    more = first.unionByName(rows(spark, (9, "c", f"x {KEY}"), (10, "c", f"new {KEY}")))
+    ledger, reported = secrets.load(spark, str(tmp_path))
+    assert ledger.count() == 3 * len(secrets.RULES)
+    again, new = secrets.scan(more, ledger, reported=reported)
+    assert new.count() == len(secrets.RULES)  # the blob of path 10 alone was scanned
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, secrets.scan(more)[0].collect()))
+    secrets.save(str(tmp_path), 2, new, again)
+    assert secrets.scan(more, *secrets.load(spark, str(tmp_path))[:1], reported=secrets.load(spark, str(tmp_path))[1])[1].count() == 0
+
+
+def test_redaction_is_one_pass_whatever_the_names(spark):
+    docs = spark.createDataFrame([(1, f"x {KEY}", 1, 2, 22), (1, f"x {KEY}", 1, 2, 22), (None, "", 1, 2, 0), (2, "y " * 100_000 + KEY, 1, 2, 0)], "doc_id long, text string, _redacted int, _flagged int, n_chars int")
+    out = secrets.redact(docs)
+    assert "Exchange" not in out._jdf.queryExecution().toString() and out.columns == docs.columns
+    assert [(r.doc_id, r.text, r.n_chars) for r in out.collect()] == [(1, "x [SECRET]", 10)] * 2 + [(None, "", 0), (2, "y " * 100_000 + "[SECRET]", 200_008)]
+    assert secrets.redact(docs.limit(0)).count() == 0
+
+
+def test_a_text_without_hints_holds_no_secret(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text")
+    for r in secrets.RULES:
+        assert docs.where(F.regexp_like("text", F.lit(r.pattern)) & ~secrets._any_hit((r,), F.lower("text"))).count() == 0
