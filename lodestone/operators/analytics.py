@@ -133,12 +133,22 @@ def density(graph: Graph) -> DataFrame:
 
 
 def clustering(graph: Graph) -> DataFrame:
-    """(entity_id, clustering): the share of an entity's neighbour pairs that are neighbours themselves."""
+    """(entity_id, clustering): the share of an entity's neighbour pairs that are neighbours themselves.
+
+    Edges point to the end with more neighbours, so no node has more than about
+    the square root of twice the edges going out, hubs included, and each
+    triangle is met once. A self-loop makes an entity its own neighbour, paired
+    with each other one.
+    """
     near = materialise(_inner(graph), "adjacency")
-    k = near.groupBy("node").agg(F.count("*").alias("k"))
-    a, b = near.select("node", F.col("neighbour").alias("x")), near.select("node", F.col("neighbour").alias("y"))
-    wedges = a.join(b, "node").where("x < y")
-    closed = wedges.join(near.select(F.col("node").alias("x"), F.col("neighbour").alias("y")), ["x", "y"], "left_semi").groupBy("node").agg(F.count("*").alias("closed"))
+    k = near.groupBy("node").agg(F.count("*").alias("k"), F.max(F.col("node") == F.col("neighbour")).alias("loop"))
+    other = k.select(F.col("node").alias("neighbour"), F.col("k").alias("nk"))
+    placed = near.where("node <> neighbour").join(k.select("node", "k"), "node").join(other, "neighbour")
+    up = materialise(placed.where("k < nk or (k = nk and node < neighbour)").select("node", "neighbour"), "oriented")
+    a, b = up.select("node", F.col("neighbour").alias("x")), up.select("node", F.col("neighbour").alias("y"))
+    triangles = a.join(b, "node").join(up.select(F.col("node").alias("x"), F.col("neighbour").alias("y")), ["x", "y"], "left_semi")
+    corners = triangles.select(F.explode(F.array("node", "x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("met"))
+    closed = k.join(corners, "node", "left").select("node", (F.coalesce("met", F.lit(0)) + F.when(F.col("loop"), F.col("k") - 1).otherwise(0)).alias("closed"))
     joined = graph.entities.select(F.col("entity_id").alias("node")).join(k, "node", "left").join(closed, "node", "left")
     return joined.select(F.col("node").alias("entity_id"), F.when(F.col("k") > 1, F.coalesce("closed", F.lit(0)) / (F.col("k") * (F.col("k") - 1) / 2)).otherwise(0.0).alias("clustering"))
 

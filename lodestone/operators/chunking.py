@@ -54,7 +54,7 @@ def chunk(documents: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFram
     """Chunks of documents(doc_ord, doc_id, content, ...).
 
     chunk_id, doc_id, content, start_offset, end_offset, metadata and chunk_ord
-    (document order, then position). A null or empty document has none.
+    (a struct: document order, then position). A null or empty document has none.
     """
 
     @F.pandas_udf(SPANS)
@@ -63,7 +63,7 @@ def chunk(documents: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFram
 
     placed = documents.select("doc_ord", "doc_id", F.posexplode(split("content")).alias("index", "span"))
     rows = placed.select(
-        (F.col("doc_ord") * F.lit(1 << 20) + F.col("index")).alias("chunk_ord"),
+        F.struct("doc_ord", "index").alias("chunk_ord"),
         F.concat_ws("_", "doc_id", F.col("index").cast("string")).alias("chunk_id"),
         "doc_id",
         "span.content",

@@ -256,7 +256,8 @@ def extract(chunks: DataFrame, min_confidence: float = 0.5, extractor=None) -> D
             both = [work(t if isinstance(t, str) else "", c) for t, c in zip(rows["content"], rows["chunk_id"])]
             yield pd.DataFrame({"chunk_ord": rows["chunk_ord"], "chunk_id": rows["chunk_id"], "entities": [x[0] for x in both], "relationships": [x[1] for x in both]})
 
-    return chunks.select("chunk_ord", "chunk_id", "content").mapInPandas(run, SCHEMA)
+    place = chunks.schema["chunk_ord"].dataType.simpleString()
+    return chunks.select("chunk_ord", "chunk_id", "content").mapInPandas(run, SCHEMA.replace("chunk_ord long", f"chunk_ord {place}"))
 
 
 def cap_entities(found: DataFrame, min_confidence: float, cap: int) -> DataFrame:

@@ -103,7 +103,7 @@ def neighbours(relationships: DataFrame) -> DataFrame:
     """(node, neighbour, relation_type, position, rel_ord, source, target, confidence): both directions of every edge.
 
     Of parallel edges of one type the most confident stands for all, the earliest
-    on ties; positions order a node's neighbours, outgoing edges first.
+    on ties; positions order a node's neighbours, outgoing edges first, those of equal rel_ord by name and type.
     """
     columns = ["rel_ord", "source", "target", "relation_type", "confidence"]
     out = relationships.select(F.col("source").alias("node"), F.col("target").alias("neighbour"), F.lit(0).alias("way"), *columns)
@@ -111,7 +111,7 @@ def neighbours(relationships: DataFrame) -> DataFrame:
     place = F.struct("way", "rel_ord")
     best = F.min(F.struct((-F.col("confidence")).alias("less"), "way", "rel_ord", "source", "target", "confidence")).alias("edge")
     grouped = out.unionByName(back).groupBy("node", "neighbour", "relation_type").agg(F.min(place).alias("place"), best)
-    position = F.row_number().over(Window.partitionBy("node").orderBy("place"))
+    position = F.row_number().over(Window.partitionBy("node").orderBy("place", "neighbour", "relation_type"))
     return grouped.select("node", "neighbour", "relation_type", position.alias("position"), "edge.rel_ord", "edge.source", "edge.target", "edge.confidence")
 
 

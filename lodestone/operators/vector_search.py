@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.text import plain_tokens, term_counts
-from lodestone.functions.vectors import bucket, cosine, fnv1a, norm, sign
+from lodestone.functions.vectors import bucket, fnv1a, sign
 
 
 def latest(vectors: DataFrame, sequence: str) -> DataFrame:
@@ -62,46 +62,63 @@ def embed_texts(texts: DataFrame, dimension: int, text: str = "content", into: s
 
 
 BROADCAST_NUMBERS = 4_000_000
-"""Up to so many numbers in all queries together are sent to every executor; more go through a join."""
-
-
-def _scored(vectors: DataFrame, queries: DataFrame, k: int | None, threshold: float | None) -> DataFrame:
-    """(query_id, id, score), the score rounded to 9 places.
-
-    A few queries meet the vectors in numpy, batch by batch, and only what can be
-    among the best k of its batch, or reaches the threshold, leaves it. Many
-    queries meet them in a join.
+"""Up to so many numbers in all queries together are sent to every executor; more meet the vectors block by block."""
+
+
+def _by_width(ids, embeddings) -> dict:
+    """width -> (ids, matrix) of the embeddings; 0 for those that are null or empty."""
+    widths = [0 if e is None else len(e) for e in embeddings]
+    return {w: (ids[[i for i, x in enumerate(widths) if x == w]], np.array([e for e, x in zip(embeddings, widths) if x == w], np.float64)) for w in set(widths)}
+
+
+def _meet(rows: pd.DataFrame, groups: dict, k: int | None, threshold: float | None):
+    """Frames of (query_id, id, score) of rows(id, embedding) and the queries of groups, cut to what can be among the best k or reaches the threshold."""
+    of = np.array([0 if e is None else len(e) for e in rows["embedding"]])
+    for w, (ids, q) in groups.items():
+        score = np.zeros((len(rows), len(ids)))
+        same = np.flatnonzero(of == w)
+        if w and len(same):
+            v = np.array(rows["embedding"].iloc[same].tolist(), np.float64)
+            both = np.linalg.norm(v, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
+            score[same] = np.divide(v @ q.T, both, out=np.zeros_like(both), where=both > 0)
+        score = np.round(score, 9)
+        keep = np.ones(score.shape, bool) if threshold is None else score >= threshold
+        if k is not None and k < len(rows):
+            keep &= score >= np.partition(score, len(rows) - k, axis=0)[len(rows) - k]
+        r, c = np.nonzero(keep)
+        yield pd.DataFrame({"query_id": ids[c], "id": rows["id"].to_numpy()[r], "score": score[r, c]})
+
+
+def _scored(vectors: DataFrame, queries: DataFrame, k: int | None, threshold: float | None, query_rows: int = 2048, vector_rows: int = 8192) -> DataFrame:
+    """(query_id, id, score), the score rounded to 9 places; ids keep their types.
+
+    Queries meet the vectors in numpy, batch by batch, and only what can be among
+    the best k of its batch, or reaches the threshold, leaves it. Beyond
+    BROADCAST_NUMBERS a block of queries meets a block of vectors in each task.
     """
+    kinds = [t.schema[c].dataType.simpleString() for t, c in ((queries, "query_id"), (vectors, "id"))]
+    schema = f"query_id {kinds[0]}, id {kinds[1]}, score double"
     size = queries.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0]
-    if size > BROADCAST_NUMBERS:
-        left = queries.select("query_id", F.col("embedding").alias("_q")).withColumn("_qn", norm(F.col("_q")))
-        right = vectors.select("id", "embedding").withColumn("_n", norm(F.col("embedding")))
-        scored = right.crossJoin(left).select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("_q"), F.col("_n"), F.col("_qn")), 9).alias("score"))
-        return scored if threshold is None else scored.where(F.col("score") >= threshold)
-    asked = queries.select("query_id", "embedding").toPandas()
-    widths = [0 if e is None else len(e) for e in asked["embedding"]]
-    groups = {w: (asked["query_id"].to_numpy()[[i for i, x in enumerate(widths) if x == w]], np.array([e for e, x in zip(asked["embedding"], widths) if x == w], np.float64)) for w in set(widths)}
-    shared = queries.sparkSession.sparkContext.broadcast(groups)
-
-    def run(batches):
-        for rows in batches:
-            of = np.array([0 if e is None else len(e) for e in rows["embedding"]])
-            for w, (ids, q) in shared.value.items():
-                score = np.zeros((len(rows), len(ids)))
-                same = np.flatnonzero(of == w)
-                if w and len(same):
-                    v = np.array(rows["embedding"].iloc[same].tolist(), np.float64)
-                    both = np.linalg.norm(v, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
-                    score[same] = np.divide(v @ q.T, both, out=np.zeros_like(both), where=both > 0)
-                score = np.round(score, 9)
-                keep = np.ones(score.shape, bool) if threshold is None else score >= threshold
-                if k is not None and k < len(rows):
-                    keep &= score >= np.partition(score, len(rows) - k, axis=0)[len(rows) - k]
-                r, c = np.nonzero(keep)
-                yield pd.DataFrame({"query_id": ids[c], "id": rows["id"].to_numpy()[r], "score": score[r, c]})
-
-    kind = queries.schema["query_id"].dataType.simpleString()
-    return vectors.select("id", "embedding").mapInPandas(run, f"query_id {kind}, id string, score double")
+    asked, held = queries.select("query_id", "embedding"), vectors.select("id", "embedding")
+    if size <= BROADCAST_NUMBERS:
+        few = asked.toPandas()
+        shared = queries.sparkSession.sparkContext.broadcast(_by_width(few["query_id"].to_numpy(), few["embedding"]))
+
+        def run(batches):
+            for rows in batches:
+                yield from _meet(rows, shared.value, k, threshold)
+
+        return held.mapInPandas(run, schema)
+    many = [max(1, -(-t.count() // n)) for t, n in ((asked, query_rows), (held, vector_rows))]
+    blocks = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in many]
+    left = asked.withColumn("qb", F.pmod(F.xxhash64("query_id", "embedding"), F.lit(many[0])).cast("int")).withColumn("vb", blocks[1])
+    right = held.withColumn("vb", F.pmod(F.xxhash64("id", "embedding"), F.lit(many[1])).cast("int")).withColumn("qb", blocks[0])
+
+    def pair(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        found = list(_meet(v, _by_width(q["query_id"].to_numpy(), q["embedding"]), k, threshold)) if len(q) and len(v) else []
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(pair, schema)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int | None, threshold: float | None = None) -> DataFrame:

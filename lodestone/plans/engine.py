@@ -16,12 +16,12 @@ from lodestone.operators import bm25, communities, dual, extraction, fusion, gra
 from lodestone.operators.chunking import chunk
 from lodestone.operators.graph_store import Graph
 from lodestone.operators.llm_extraction import ANSWER, EmbeddingModel, LanguageModel, ModelExtractor, fill
-from lodestone.runtime import materialise
+from lodestone.runtime import materialise, number_rows
 from lodestone.sources import graph_json
 from lodestone.sources.model_server import ChatClient, EmbeddingClient
 
 NOTHING_FOUND = "I don't have enough information to answer that."
-DOCUMENTS = "doc_id string, title string, content string, metadata map<string,string>, ingest_seq long"
+DOCUMENTS = "doc_id string, title string, content string, metadata map<string,string>, ingest_seq struct<batch:long,row:long>"
 
 
 @dataclass(frozen=True)
@@ -41,6 +41,11 @@ def context_column(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", piece.alias("p")))), lambda x: x["p"]), "\n\n---\n\n").alias("context"))
 
 
+def _numbered(rows: DataFrame, place: str, name: str) -> DataFrame:
+    """rows as a table, with 0, 1, ... in the order of the column `place` in its stead; no key is packed into bits that could run out."""
+    return materialise(number_rows(rows.withColumnRenamed(place, "_place"), ["_place"], place).drop("_place"), name)
+
+
 class Engine:
     """A corpus and what is built from it. DataFrames are lazy; build() materialises each stage once."""
 
@@ -56,21 +61,21 @@ class Engine:
     def add_document(self, content: str, title: str | None = None, doc_id: str | None = None, metadata: dict | None = None) -> str:
         """Add or replace one document; an id is made up if none is given."""
         key = doc_id or str(uuid.uuid4())
-        row = [(key, title or f"Document {self._count + 1}", content, metadata or {}, self._count)]
+        row = [(key, title or f"Document {self._count + 1}", content, metadata or {}, (self._count, 0))]
         self._pending.append(self.spark.createDataFrame(row, DOCUMENTS))
         self._count += 1
         self._built = False
         return key
 
     def add_documents(self, documents: DataFrame) -> None:
-        """Add or replace documents(doc_id, title, content[, metadata]); of repeated ids one row stays."""
-        start = self._count
+        """Add or replace documents(doc_id, title, content[, metadata]); of repeated ids within the batch the row with the greatest hash stays."""
         if "metadata" not in documents.columns:
             documents = documents.withColumn("metadata", F.create_map().cast("map<string,string>"))
         rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "title", "content", "metadata")
-        # a number above all earlier ones, and stable for an id within the batch
-        self._pending.append(rows.withColumn("ingest_seq", F.lit(start).cast("long") + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))))
-        self._count += 1 << 40
+        # behind all earlier batches, and the same however the rows lie
+        place = F.struct(F.lit(self._count).cast("long").alias("batch"), F.xxhash64("doc_id", "title", "content").alias("row"))
+        self._pending.append(rows.withColumn("ingest_seq", place))
+        self._count += 1
         self._built = False
 
     def documents(self) -> DataFrame:
@@ -96,18 +101,16 @@ class Engine:
     def build(self) -> Engine:
         """Chunk, extract, cap, merge, annotate, embed and index everything that was added."""
         c = self.config
-        documents = materialise(self.documents(), "documents")
-        chunks = materialise(chunk(documents, self.chunking), "chunks")
+        documents = _numbered(self.documents(), "doc_ord", "documents")
+        chunks = _numbered(chunk(documents, self.chunking), "chunk_ord", "chunks")
         found = materialise(extraction.extract(chunks, c.min_confidence, self.extractor), "extracted")
         kept = materialise(extraction.cap_entities(found, c.min_confidence, c.max_entities_per_chunk), "kept")
         seq = F.struct("chunk_ord", "at")
-        entities = graph_store.merge_entities(kept.withColumn("seq", seq)).withColumn("entity_ord", F.col("entity_ord.chunk_ord") * 100_000 + F.col("entity_ord.at"))
-        entities = materialise(entities, "entities")
+        entities = _numbered(graph_store.merge_entities(kept.withColumn("seq", seq)), "entity_ord", "entities")
         gated = extraction.gate_relationships(found, kept)
         if not c.extract_relationships:
             gated = gated.limit(0)
-        relationships = graph_store.merge_relationships(gated.withColumn("seq", seq), entities).withColumn("rel_ord", F.col("rel_ord.chunk_ord") * 100_000 + F.col("rel_ord.at"))
-        relationships = materialise(relationships, "relationships")
+        relationships = _numbered(graph_store.merge_relationships(gated.withColumn("seq", seq), entities), "rel_ord", "relationships")
         noted = kept.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "entity_id"))), lambda x: x["entity_id"]).alias("entities"))
         chunks = chunks.join(noted, "chunk_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
         chunks = self._embed(chunks) if c.includes_semantic else chunks.withColumn("embedding", F.lit(None).cast("array<float>"))

@@ -1,8 +1,8 @@
 """Graph operators over graphs made of the tables, with their SQL.
 
 "shipments" has parts and suppliers as nodes and an edge of type l_returnflag for
-every lineitem of quantity 50; "markets" has regions, nations and customer
-segments as nodes.
+every lineitem; "markets" has regions, nations and customer segments as nodes
+and stays small at every scale: it is for what needs all pairs of nodes.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ ents as (
   union all select 2 * s_suppkey + 1, 'supplier_' || s_suppkey, s_name, 'SUPPLIER' from supplier),
 raw as (
   select l_orderkey * 8 + l_linenumber as seq, 'part_' || l_partkey as source, 'supplier_' || l_suppkey as target, l_returnflag as relation_type, round(1 - 8 * l_discount, 2) as confidence, 'order_' || l_orderkey as chunk
-  from lineitem where l_quantity = 50),
+  from lineitem),
 rels as (
   select source, target, relation_type, min(seq) as rel_ord, max(confidence) as confidence from raw
   where source in (select entity_id from ents) and target in (select entity_id from ents) group by 1, 2, 3)
@@ -54,14 +54,13 @@ rshare as (
   select c_mktsegment, n_regionkey, count(*) as n, sum(count(*)) over (partition by c_mktsegment) as total from customer join nation on c_nationkey = n_nationkey group by 1, 2),
 rels as (
   select 'nation_' || n_nationkey as source, 'region_' || n_regionkey as target, 'LOCATED_IN' as relation_type, n_nationkey as rel_ord, 1.0::double as confidence from nation
-  union all select 'nation_' || c_nationkey, 'segment_' || c_mktsegment, 'BUYS', 100 + row_number() over (order by c_nationkey, c_mktsegment), round(n / total, 2)::double from share where n * 10 >= total * 2
-  union all select 'segment_' || c_mktsegment, 'region_' || n_regionkey, 'SERVES', 1000 + row_number() over (order by c_mktsegment, n_regionkey), round(n / total, 2)::double from rshare where n * 10 >= total * 2)
+  union all select 'nation_' || c_nationkey, 'segment_' || c_mktsegment, 'BUYS', 100 + row_number() over (order by c_nationkey, c_mktsegment), round(n / total, 2)::double from share
+  union all select 'segment_' || c_mktsegment, 'region_' || n_regionkey, 'SERVES', 1000 + row_number() over (order by c_mktsegment, n_regionkey), round(n / total, 2)::double from rshare)
 """
 
 
 def _raw_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity = 50")
-    return rows.select(
+    return table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
         F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("source"),
         F.concat(F.lit("supplier_"), F.col("l_suppkey").cast("string")).alias("target"),
@@ -96,7 +95,7 @@ def markets(spark: SparkSession, sf_dir: str) -> Graph:
 
     def shares(rows, of, by, start):
         counted = rows.groupBy(of, by).agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy(of)))
-        return counted.where("n * 10 >= total * 2").withColumn("rel_ord", (start + F.row_number().over(Window.orderBy(of, by))).cast("long")).withColumn("confidence", F.round(F.col("n") / F.col("total"), 2))
+        return counted.withColumn("rel_ord", (start + F.row_number().over(Window.orderBy(of, by))).cast("long")).withColumn("confidence", F.round(F.col("n") / F.col("total"), 2))
 
     placed = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     edges = [
@@ -113,7 +112,7 @@ def _near(strong: bool = True) -> str:
     return (
         "sides as (select source as node, target as neighbour, 0 as way, * from rels union all select target, source, 1, * from rels), "
         "best as (select *, row_number() over (partition by node, neighbour, relation_type order by confidence desc, way, rel_ord) as b, min(way * 1000000000000 + rel_ord) over (partition by node, neighbour, relation_type) as place from sides), "
-        f"near as (select *, row_number() over (partition by node order by place) as position from best where b = 1), strong as (select * from near{keep})"
+        f"near as (select *, row_number() over (partition by node order by place, neighbour, relation_type) as position from best where b = 1), strong as (select * from near{keep})"
     )
 
 
@@ -198,9 +197,9 @@ def entity_rels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_store.entity_relationships(shipments(spark, sf_dir).relationships, "supplier_1").select("source", "target", "relation_type", "rel_ord", "way")
 
 
-@query(f"with {MARKETS} select entity_id, name from ents where contains(lower(name), 'ia')")
+@query(f"with {SHIPMENTS} select entity_id, name from ents where contains(lower(name), '7')")
 def find_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_store.find_by_name(markets(spark, sf_dir).entities, "IA").select("entity_id", "name")
+    return graph_store.find_by_name(shipments(spark, sf_dir).entities, "7").select("entity_id", "name")
 
 
 def _walk_sql(graph: str, starts: list[str], depth: int, strong: bool = True) -> str:
@@ -291,14 +290,14 @@ def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ADJ = "adj as (select source as node, target as neighbour from rels union select target, source from rels)"
 
 
-@query(f"with {MARKETS}, {_ADJ}, k as (select node, count(*) as k from adj group by 1) select entity_id, round(coalesce(k, 0) / cast((select count(*) from ents) - 1 as double), 6) as degree from ents left join k on node = entity_id")
+@query(f"with {SHIPMENTS}, {_ADJ}, k as (select node, count(*) as k from adj group by 1) select entity_id, round(coalesce(k, 0) / cast((select count(*) from ents) - 1 as double), 6) as degree from ents left join k on node = entity_id")
 def degree_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.degree_centrality(markets(spark, sf_dir)).select("entity_id", F.round("degree", 6).alias("degree"))
+    return analytics.degree_centrality(shipments(spark, sf_dir)).select("entity_id", F.round("degree", 6).alias("degree"))
 
 
-@query(f"with {MARKETS}, {_ADJ} select round(2.0 * ((select count(*) from adj) // 2) / (n * (n - 1)), 6)::double as density from (select count(*) as n from ents)")
+@query(f"with {SHIPMENTS}, {_ADJ} select round(2.0 * ((select count(*) from adj) // 2) / (n * (n - 1)), 6)::double as density from (select count(*) as n from ents)")
 def density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.density(markets(spark, sf_dir)).select(F.round("density", 6).alias("density"))
+    return analytics.density(shipments(spark, sf_dir)).select(F.round("density", 6).alias("density"))
 
 
 @query(
@@ -311,32 +310,32 @@ def clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"with recursive {SHIPMENTS}, e as (select a.entity_ord as x, b.entity_ord as y from rels join ents a on a.entity_id = source join ents b on b.entity_id = target), adj as (select x, y from e union select y, x from e), "
-    "reach as (select entity_ord as x, entity_ord as root from ents union select y, root from reach join adj using (x)) select entity_id, c as component from ents join (select x, min(root) as c from reach group by 1) on x = entity_ord"
+    "lab as (select entity_ord as x, entity_ord as c, 0 as k, true as moved from ents union all select x, fresh, k + 1, bool_or(fresh < c) over () from (select l.x, l.c, l.k, least(l.c, coalesce(m, l.c)) as fresh from lab l "
+    "left join (select adj.x, min(p.c) as m from adj join lab p on p.x = adj.y group by 1) g using (x) where l.moved)) select entity_id, c as component from ents join lab on entity_ord = x where k = (select max(k) from lab)"
 )
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.connected_components(shipments(spark, sf_dir))
 
 
-def _rank_sql(rounds: int) -> str:
-    steps = ["r0 as (select entity_id, 1.0::double / (select count(*) from ents) as s from ents)"]
-    for k in range(rounds):
-        steps.append(
-            f"g{k} as (select target as entity_id, sum(confidence / total * s) as got from rels join outs using (source) join r{k} on r{k}.entity_id = source where confidence > 0 group by 1), "
-            f"l{k} as (select coalesce(sum(s), 0) as lost from r{k} where entity_id not in (select source from outs)), "
-            f"r{k + 1} as (select entity_id, 0.15 / n + 0.85 * lost / n + 0.85 * coalesce(got, 0) as s from ents left join g{k} using (entity_id), l{k}, (select count(*) as n from ents))"
-        )
-    return f"with {SHIPMENTS}, outs as (select source, sum(confidence) as total from rels where confidence > 0 group by 1), {', '.join(steps)} "
+_RANKS = (
+    f"with recursive {SHIPMENTS}, outs as (select source, sum(confidence) as total from rels where confidence > 0 group by 1), nn as (select count(*) as n from ents), "
+    "shares as (select source, target, confidence / total as share from rels join outs using (source) where confidence > 0), "
+    "ranks as (select entity_id, 1.0::double / n as s, 0 as k, 1.0::double as moved from ents, nn union all "
+    "select entity_id, fresh, k + 1, max(abs(fresh - s)) over () from (select r.entity_id, r.s, r.k, 0.15 / n + 0.85 * lost / n + 0.85 * coalesce(got, 0) as fresh from ranks r "
+    "left join (select target as entity_id, sum(share * p.s) as got from ranks p join shares on source = p.entity_id group by 1) g using (entity_id), "
+    "(select coalesce(sum(s) filter (where entity_id not in (select source from outs)), 0) as lost from ranks), nn where r.k < 100 and r.moved >= 1e-6)), "
+    "scored as (select entity_id, round(s / sum(s) over (), 9) as score from ranks where k = (select max(k) from ranks)) "
+)
 
 
-@query(_rank_sql(6) + "select entity_id, round(s / sum(s) over (), 9) as score from r6")
+@query(_RANKS + "select * from scored")
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.pagerank(shipments(spark, sf_dir), iterations=6).withColumn("score", F.round("score", 9))
+    return analytics.pagerank(shipments(spark, sf_dir)).withColumn("score", F.round("score", 9))
 
 
-@query(_rank_sql(6) + ", f as (select entity_id, round(s / sum(s) over (), 9) as score from r6) select * from f order by score desc, entity_id limit 20")
+@query(_RANKS + "select * from scored order by score desc, entity_id limit 20")
 def pagerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = analytics.pagerank(shipments(spark, sf_dir), iterations=6).withColumn("score", F.round("score", 9))
-    return analytics.top_entities(scores, 20)
+    return analytics.top_entities(pagerank(spark, sf_dir), 20)
 
 
 @query(f"with {SHIPMENTS} select least(a.entity_ord, b.entity_ord) as a, greatest(a.entity_ord, b.entity_ord) as b, round(sum(confidence), 6) as w from rels join ents a on a.entity_id = source join ents b on b.entity_id = target where confidence > 0 and source <> target group by 1, 2")
@@ -344,23 +343,22 @@ def leiden_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return communities.undirected_weights(shipments(spark, sf_dir)).withColumn("w", F.round("w", 6))
 
 
-_ASSIGNED = "asg as (select 'nation_' || n_nationkey as entity_id, n_regionkey as community_id from nation union all select 'region_' || r_regionkey, r_regionkey from region union all select 'segment_' || c_mktsegment, 99 from (select distinct c_mktsegment from customer))"
+_ASSIGNED = "asg as (select 'part_' || p_partkey as entity_id, p_size % 25 as community_id from part union all select 'supplier_' || s_suppkey, s_nationkey from supplier)"
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    rows = nation.select(F.concat(F.lit("nation_"), F.col("n_nationkey").cast("string")).alias("entity_id"), F.col("n_regionkey").cast("int").alias("community_id"))
-    rows = rows.unionByName(region.select(F.concat(F.lit("region_"), F.col("r_regionkey").cast("string")), F.col("r_regionkey").cast("int")).toDF("entity_id", "community_id"))
-    return rows.unionByName(table(spark, sf_dir, "customer").select(F.concat(F.lit("segment_"), "c_mktsegment")).distinct().toDF("entity_id").withColumn("community_id", F.lit(99)))
+    part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    rows = part.select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("entity_id"), (F.col("p_size") % 25).cast("int").alias("community_id"))
+    return rows.unionByName(supplier.select(F.concat(F.lit("supplier_"), F.col("s_suppkey").cast("string")).alias("entity_id"), F.col("s_nationkey").cast("int").alias("community_id")))
 
 
 @query(
-    f"with {MARKETS}, {_ASSIGNED}, sides as (select source as x, target as y, confidence as w from rels union all select target, source, confidence from rels), "
+    f"with {SHIPMENTS}, {_ASSIGNED}, sides as (select source as x, target as y, confidence as w from rels where confidence > 0 union all select target, source, confidence from rels where confidence > 0), "
     "per as (select a.community_id as c, sum(w) as tot, sum(case when a.community_id = b.community_id then w else 0 end) as inn from sides join asg a on a.entity_id = x join asg b on b.entity_id = y group by 1), m as (select sum(tot) as m2 from per) "
     "select round(sum(inn / m2 - (tot / m2) * (tot / m2)), 6) as modularity from per, m"
 )
 def modularity_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = markets(spark, sf_dir)
+    graph = shipments(spark, sf_dir)
     placed = _assigned(spark, sf_dir).join(graph.entities.select("entity_id", F.col("entity_ord").alias("node")), "entity_id").select("node", F.col("community_id").alias("community"))
     return communities.modularity(communities.undirected_weights(graph), placed).withColumn("modularity", F.round("modularity", 6))
 
@@ -371,20 +369,21 @@ def detect_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"with {MARKETS}, {_ASSIGNED}, names as (select community_id, string_agg(name, ', ' order by entity_ord) as names from asg join ents using (entity_id) group by 1), "
+    f"with {SHIPMENTS}, {_ASSIGNED}, names as (select community_id, string_agg(name, ', ' order by entity_ord) as names from asg join ents using (entity_id) group by 1), "
     "types as (select a.community_id, string_agg(distinct relation_type, ', ' order by relation_type) as types from rels join asg a on a.entity_id = source join asg b on b.entity_id = target where a.community_id = b.community_id group by 1) "
     "select cast(community_id as integer) as community_id, 'Entities: ' || names || coalesce('. Relationships: ' || types, '') as content from names left join types using (community_id)"
 )
 def community_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return communities.summaries(markets(spark, sf_dir), _assigned(spark, sf_dir))
+    return communities.summaries(shipments(spark, sf_dir), _assigned(spark, sf_dir))
 
 
 @query(
-    f"with {MARKETS}, {_ASSIGNED}, c as (select a.community_id, 'chunk_' || rel_ord % 7 as chunk, min(rel_ord) as o from rels join asg a on a.entity_id = source join asg b on b.entity_id = target where a.community_id = b.community_id group by 1, 2) "
+    f"with {SHIPMENTS}, {_ASSIGNED}, cited as (select source, target, relation_type, chunk, row_number() over (partition by source, target, relation_type order by min(seq)) as spot from raw group by 1, 2, 3, 4), "
+    "c as (select a.community_id, chunk, min({'r': rel_ord, 's': spot}) as o from rels join cited using (source, target, relation_type) join asg a on a.entity_id = source join asg b on b.entity_id = target where a.community_id = b.community_id group by 1, 2) "
     "select cast(community_id as integer) as community_id, string_agg(chunk, ',' order by o) as source_chunks from c group by 1"
 )
 def community_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return communities.source_chunks(markets(spark, sf_dir), _assigned(spark, sf_dir)).withColumn("source_chunks", F.array_join("source_chunks", ","))
+    return communities.source_chunks(shipments(spark, sf_dir), _assigned(spark, sf_dir)).withColumn("source_chunks", F.array_join("source_chunks", ","))
 
 
 _LISTS = (

@@ -17,7 +17,7 @@ def upsert_stream(documents: DataFrame, folder: str, checkpoint: str) -> Streami
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("ingest_seq", F.lit(number) * (1 << 40) + F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        batch.withColumn("ingest_seq", F.struct(F.lit(number).cast("long").alias("number"), F.monotonically_increasing_id().alias("row"))).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

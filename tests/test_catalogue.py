@@ -6,10 +6,9 @@ import pytest
 from lodestone.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"betweenness", "pagerank_topk", "graph_stats", "multi_bfs", "ego_nodes"}
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_against_sql(spark, sf, name):
     got = catalogue.QUERIES[name](spark, sf).toPandas()
     if name not in catalogue.ORACLES:

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from lodestone.operators import analytics, bm25, chunking, communities, dual, ex
 from lodestone.operators.graph_store import MENTION, Graph
 from lodestone.plans.engine import Builder, Engine
 from lodestone.sources import graph_json
+from lodestone.streaming import ingest
 
 ENTITY = f"entity_ord long, entity_id string, name string, entity_type string, confidence double, mentions array<{MENTION}>"
 EDGE = "rel_ord long, source string, target string, relation_type string, confidence double, context array<string>"
@@ -247,3 +249,73 @@ def test_builder_and_addresses(spark):
     assert engine.ask("rivers").sources == []
     with pytest.raises(errors.ValidationError):
         engine.dual()
+
+
+def test_engine_batches(spark):
+    engine = Engine(spark, EngineConfig(chunk_size=200, chunk_overlap=20, top_k=3, similarity_threshold=0.0, min_confidence=0.5))
+    schema = "doc_id string, title string, content string, extra int"
+    first = [("a", "A", "Ada Lovelace worked with Charles Babbage in London. " * 6, 1), ("b", "B", "Pasta is cooked in salted water.", 1), ("c", "C", "Bob Stone lives in Paris.", 1)]
+    engine.add_documents(spark.createDataFrame(first, schema))
+    engine.add_documents(spark.createDataFrame([("b", "B", "Grace Hopper works for Acme, Inc. in Boston.", 2), ("d", "D", None, 2), ("e", None, "", 2)], schema))
+    engine.build()
+    stats = engine.stats().first()
+    assert stats.documents == 5 and stats.chunks >= 4 and stats.entities >= 6
+    assert engine.search("pasta salted").where("keyword_score > 0").count() == 0 and "b_0" in engine.ask("Grace Hopper Boston").sources
+    g = engine.graph
+    for rows, place in ((g.documents, "doc_ord"), (g.chunks, "chunk_ord"), (g.entities, "entity_ord"), (g.relationships, "rel_ord")):
+        got = sorted(r[0] for r in rows.select(place).collect())
+        assert got == list(range(len(got)))
+    at = values(g.documents, "doc_id", "doc_ord")
+    assert {at[x] for x in "abc"} == {0, 1, 2} and {at[x] for x in "de"} == {3, 4}  # a replaced document keeps its place
+    assert engine.detect_communities().count() == stats.entities
+
+
+def test_vector_ids_keep_their_types_in_both_plans(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)] + [(60, None), (61, [0.0] * 4), (62, [1.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<double>")
+    asked = spark.createDataFrame([(100 + i, e) for i, e in rows[::7]], "query_id int, embedding array<double>")
+    few = sorted(vector_search.nearest(vectors, asked, 5, 0.1).collect())
+    monkeypatch.setattr(vector_search, "BROADCAST_NUMBERS", 0)
+    many = sorted(vector_search.nearest(vectors, asked, 5, 0.1).collect())
+    blocks = sorted(r[:3] for r in vector_search._scored(vectors, asked, None, 0.1, 2, 7).collect())
+    assert few == many and len(few) > 20 and isinstance(few[0]["id"], int)
+    assert blocks == sorted(r[:3] for r in vector_search.similar(vectors, asked, 0.1).collect())
+
+
+def test_stream_upserts(spark, tmp_path):
+    schema = "doc_id string, title string, content string"
+    source, stored = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in ([("a", "A", "old"), ("b", "B", "kept")], [("a", "A", "new")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        ingest.upsert_stream(spark.readStream.schema(schema).parquet(source), stored, str(tmp_path / "state")).awaitTermination()
+    assert values(ingest.current_documents(spark, stored), "doc_id", "content") == {"a": "new", "b": "kept"}
+
+
+def test_pagerank_against_power_iteration(spark):
+    rng = np.random.default_rng(1)
+    names = [f"n{i}" for i in range(20)]
+    edges = [(names[a], names[b], f"T{k % 2}", round(float(w), 2)) for k, (a, b, w) in enumerate(zip(rng.integers(0, 15, 60), rng.integers(0, 20, 60), rng.random(60)))]
+    edges = list({e[:3]: e for e in edges}.values())
+    got = values(analytics.pagerank(graph(spark, names, edges)), "entity_id", "score")
+    w = np.zeros((20, 20))
+    for a, b, _, v in edges:
+        w[names.index(a), names.index(b)] += v
+    out, s = w.sum(1), np.full(20, 0.05)
+    for _ in range(100):
+        fresh = 0.15 / 20 + 0.85 * s[out == 0].sum() / 20 + 0.85 * (s[out > 0] / out[out > 0]) @ w[out > 0]
+        moved, s = np.abs(fresh - s).max(), fresh
+        if moved < 1e-6:
+            break
+    assert got == pytest.approx(dict(zip(names, s / s.sum())), abs=1e-9)
+
+
+def test_clustering_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    names = [f"n{i:02}" for i in range(25)]
+    pairs = {(int(a), int(b)) for a, b in zip(rng.integers(0, 24, 90), rng.integers(0, 24, 90))} | {(0, i) for i in range(20)} | {(3, 3)}
+    got = values(analytics.clustering(graph(spark, names, [(names[a], names[b], "R", 1.0) for a, b in pairs])), "entity_id", "clustering")
+    near = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in range(25)}
+    for i, n in near.items():
+        both = [(x, y) for x in n for y in n if x < y]
+        assert got[names[i]] == pytest.approx(sum(y in near[x] for x, y in both) / len(both) if both else 0.0), i
