@@ -29,9 +29,24 @@ _SPACE = re.compile(r"[^\S\n]+")
 SCHEMA = "page_id long, url string, text string, n_lines int, kept_lines int"
 
 
+def _closed(pattern: re.Pattern, to: str, page: str) -> str:
+    """pattern.sub(to, page) for patterns that end in '>': no mark opens behind the last one, where each would be sought to the end of the page."""
+    end = page.rfind(">") + 1
+    return pattern.sub(to, page[:end]) + page[end:]
+
+
+def _dropped(page: str) -> str:
+    """The page without comments, scripts and declarations. Marks behind the last '>', but for comments, open nothing and are hidden from the pattern."""
+    end = page.rfind(">") + 1
+    if "<" not in page[end:]:
+        return _DROP.sub(" ", page)
+    hidden = next(c for c in map(chr, range(0xF0000, 0xFFFFE)) if c not in page)
+    return _DROP.sub(" ", page[:end] + re.sub("<(?!!--)", hidden, page[end:])).replace(hidden, "<")
+
+
 def lines_of(page: str) -> list[str]:
     """The stripped lines of a page; lines without text are empty strings."""
-    bare = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", page)))
+    bare = _closed(_TAG, "", _closed(_BREAK, "\n", _dropped(page)))
     if "&" in bare:
         bare = html.unescape(bare)
     return [x.strip() for x in _SPACE.sub(" ", bare).split("\n")]

@@ -44,3 +44,19 @@ def test_edges(spark):
     assert [(r.page_id, r.text is None, len(r.text or "")) for r in out[1:4]] == [(None, True, 0), (2, False, 0), (3, False, 0)]
     assert len(out[4].text) == 499_999
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_hostile_pages_take_linear_time_and_give_the_same_lines():
+    import time
+
+    pages = ["<a" * 200_000, "<script" * 100_000 + "<!-- x -->" + "<div" * 100_000, "<p>text</p>" + "</script " * 100_000, "<!--" * 100_000, "<!" * 200_000 + "<?" * 200_000]
+    for page in pages:
+        start = time.perf_counter()
+        H.lines_of(page)
+        assert time.perf_counter() - start < 2, page[:20]
+    rng = np.random.default_rng(4)
+    bits = ["<p>", "<", ">", "a", " ", "\n", "<!--", "-->", "<script>", "</script>", "<script", "</p", "<b x='", "<!d", "<?x", "&amp;"]
+    for _ in range(3000):
+        page = "".join(rng.choice(bits, rng.integers(0, 14)))
+        plain = H.html.unescape(H._TAG.sub("", H._BREAK.sub("\n", H._DROP.sub(" ", page))))
+        assert H.lines_of(page) == [x.strip() for x in H._SPACE.sub(" ", plain).split("\n")], page
