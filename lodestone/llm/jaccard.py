@@ -6,10 +6,18 @@ Universe partition and the pigeonhole principle, after Deng, Li, Wen & Feng,
 Two sets r, s with J(r, s) >= t differ in at most
 H = (1 - t) / (1 + t) * (|r| + |s|) elements.
 
-1. The sets are divided by size into ranges so wide that every possible pair
-   shares one, and the universe of each range is divided by hash into G groups.
+0. The sets are cut down and put into bins that no pair leaves. The universe is
+   divided by hash into as many cells as the corpus asks for; a cell counts how
+   many rows hold each element. A partner shares at least t of a set's elements,
+   so sets with fewer shared ones go; and of the shared ones, rarest first, both
+   sets of a pair hold a common one among the first (shared - t * size + 1).
+   Sets that share one there are connected; a bin holds whole components, and a
+   component beyond a bin is joined in pairs of blocks of its sets. So no later
+   task grows with the corpus.
+1. The sets of a bin are divided by size into ranges so wide that every possible
+   pair shares one, and the universe of each range is divided by hash into G groups.
    By the pigeonhole principle a pair differs by at most H / G in some group.
-   Each (range, group) meets as one task that holds its part of every set.
+   Each (bin, range, group) meets as one task that holds its part of every set.
 2. Inside a group, first go the parts that hold so many elements no other set
    has that nothing can be near enough. The rest is divided again by hash into
    segments. A probing set gives each segment a budget of -1 (not looked at),
@@ -24,9 +32,10 @@ H = (1 - t) / (1 + t) * (|r| + |s|) elements.
 
 Nothing is sampled and no partner list is cut: every pair with J >= t is found.
 Results are pairs of class representatives with memberships, or one row for each
-document with its class and number of links; neither expands copies into pairs. Sets are sets of 64-bit hashes of n-grams; equal sets are handled once
-under the hash of the set. What is shuffled is 4 bytes per n-gram and range, and
-the texts of the near copies alone a second time.
+document with its class and number of links; neither expands copies into pairs.
+Sets are sets of 64-bit hashes of n-grams; equal sets are handled once under the
+hash of the set. What is shuffled is 4 bytes per n-gram, 6 per shared one, the
+texts once and those of the sets in bins a second time.
 """
 
 from __future__ import annotations
@@ -36,6 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,42 +92,171 @@ def set_ids(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spread(n: int, threshold: float, group_tokens: int):
-    """Batches of (doc_id, text) -> blobs of set parts, one per (chunk, range, group)."""
+def _packed(many: np.ndarray) -> bytes:
+    """Small counts in a byte each, where all of them fit."""
+    return many.astype(np.uint8 if not len(many) or many.max() < 256 else np.uint32).tobytes()
+
+
+def _unpacked(blob: bytes, sets: int) -> np.ndarray:
+    return np.frombuffer(blob, np.uint8 if len(blob) == sets else np.uint32).astype(np.int64)
+
+
+def frequencies(tokens: np.ndarray, slices: int = 16) -> np.ndarray:
+    """How often each token occurs, up to 65535; in slices of the token range, so that little is held beside them."""
+    out = np.empty(len(tokens), np.uint16)
+    part = (tokens >> np.uint32(28)).astype(np.uint8)
+    for k in range(slices):
+        at = np.flatnonzero(part == k).astype(np.uint32)
+        if not len(at):
+            continue
+        key = (tokens[at].astype(np.uint64) << np.uint64(32)) | at
+        key.sort()
+        high = (key >> np.uint64(32)).astype(np.uint32)
+        first = np.flatnonzero(np.concatenate([[True], high[1:] != high[:-1]]))
+        many = np.diff(np.append(first, len(key)))
+        out[key.astype(np.uint32)] = np.repeat(np.minimum(many, 65535), many)
+    return out
+
+
+def _cells(n: int, cells: int):
+    """Batches of (doc_id, text) -> blobs of set parts, one per (chunk, cell of the universe)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId() << 32
         for rows in batches:
             texts = [t if isinstance(t, str) else None for t in rows["text"]]
             ids = rows["doc_id"].to_numpy(np.int64)
             for a, b in chunks(texts, 4_000_000):
                 tokens, size = token_sets(texts[a:b], n)
-                sid = set_ids(tokens, size)
+                full = size > 0
+                if not full.any():
+                    continue
+                sid, docs, size = set_ids(tokens, size)[full], ids[a:b][full], size[full]
+                number += 1
+                name = mix(np.array([number], np.uint64) + mix(sid + np.arange(len(sid), dtype=np.uint64)).sum()).view(np.int64)[0]
+                cell = ((tokens >> np.uint64(34)) % np.uint64(cells)).astype(np.uint16 if cells <= 65536 else np.int64)
+                order = np.argsort(cell, kind="stable")
+                low, owner = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], np.repeat(np.arange(len(sid)), size)[order]
+                cut = np.searchsorted(cell[order], np.arange(cells + 1))
                 out = []
+                for j in range(cells):
+                    x, y = cut[j], cut[j + 1]
+                    own = (sid.tobytes(), size.astype(np.uint32).tobytes(), docs.tobytes()) if j == 0 else (None, None, None)
+                    out.append((j, name, len(sid), _packed(np.bincount(owner[x:y], minlength=len(sid))), low[x:y].tobytes(), *own))
+                yield pd.DataFrame(out, columns=["cell", "chunk", "sets", "many", "tokens", "sid", "size", "ids"])
+
+    return run
+
+
+def _weigh(rows: pd.DataFrame) -> pd.DataFrame:
+    """Blobs of one cell -> the same less the elements that one row alone holds, each of the others with its frequency."""
+    tokens = np.frombuffer(b"".join(rows["tokens"]), np.uint32)
+    every, x, left, kept, weights = frequencies(tokens), 0, [], [], []
+    for sets, many, blob in zip(rows["sets"], rows["many"], rows["tokens"]):
+        y = x + len(blob) // 4
+        shared = every[x:y] > 1
+        left.append(_packed(np.bincount(np.repeat(np.arange(sets), _unpacked(many, sets))[shared], minlength=sets)))
+        kept.append(tokens[x:y][shared].tobytes())
+        weights.append(every[x:y][shared].tobytes())
+        x = y
+    return rows.assign(many=left, tokens=kept, weights=weights)[["cell", "chunk", "sets", "many", "tokens", "weights", "sid", "size", "ids"]]
+
+
+def _prefixes(threshold: float, cells: int):
+    """All cells of one chunk -> blobs of the prefixes of its sets, one per cell, and at cell -1 the sets that may have a partner."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("cell")
+        if rows["cell"].tolist() != list(range(cells)):
+            raise RuntimeError("a chunk came back in part: its task was repeated over other rows")
+        own = rows.iloc[0]
+        sets = int(own["sets"])
+        sid, size, ids = np.frombuffer(own["sid"], np.int64), np.frombuffer(own["size"], np.uint32).astype(np.int64), np.frombuffer(own["ids"], np.int64)
+        owner = np.concatenate([np.repeat(np.arange(sets), _unpacked(m, sets)) for m in rows["many"]])
+        low, weight = np.frombuffer(b"".join(rows["tokens"]), np.uint32), np.frombuffer(b"".join(rows["weights"]), np.uint16)
+        cell = np.repeat(np.arange(cells), [len(t) // 4 for t in rows["tokens"]])
+        shared = np.bincount(owner, minlength=sets)
+        least = np.maximum(1, np.ceil((threshold - 1e-9) * size - 1e-9)).astype(np.int64)  # elements that a partner shares
+        alive = shared >= least
+        pick = alive[owner]
+        owner, low, weight, cell = owner[pick], low[pick], weight[pick], cell[pick]
+        order = np.lexsort((low, cell, weight, owner))
+        owner, low, cell = owner[order], low[order], cell[order]
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(shared * alive) - shared * alive, shared * alive)
+        pick = place <= (shared - least)[owner]
+        owner, low, cell = owner[pick], low[pick], cell[pick]
+        order = np.argsort(cell, kind="stable")
+        owner, low = owner[order], low[order]
+        cut = np.searchsorted(cell[order], np.arange(cells + 1))
+        out = [(j, sid[owner[x:y]].tobytes(), low[x:y].tobytes(), None, None) for j, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
+        if alive.any():
+            out.append((-1, sid[alive].tobytes(), None, size[alive].astype(np.int32).tobytes(), ids[alive].tobytes()))
+        return pd.DataFrame(out, columns=["cell", "sid", "tokens", "size", "ids"])
+
+    return run
+
+
+def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        for sid, size, ids in zip(rows["sid"], rows["size"], rows["ids"]):
+            yield pd.DataFrame({"doc_id": np.frombuffer(ids, np.int64), "sid": np.frombuffer(sid, np.int64), "size": np.frombuffer(size, np.int32)})
+
+
+def _meet(rows: pd.DataFrame) -> pd.DataFrame:
+    """Prefixes of one cell -> a spanning forest of the sets that share an element of them."""
+    sid, which = np.unique(np.frombuffer(b"".join(rows["sid"]), np.int64), return_inverse=True)
+    tokens = np.frombuffer(b"".join(rows["tokens"]), np.uint32)
+    order = np.argsort(tokens, kind="stable")
+    tokens, which = tokens[order], which[order]
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    forest = _Forest(len(sid))
+    forest.join(which, np.repeat(which[first], np.diff(np.append(first, len(which)))))
+    child = np.flatnonzero(forest.root != np.arange(len(sid)))
+    return pd.DataFrame({"a": sid[child], "b": sid[forest.root[child]]})
+
+
+def _spread(n: int, threshold: float, group_tokens: int):
+    """Placed texts -> blobs of set parts, one per (chunk, bin, pair of blocks, range, group)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            texts = rows["text"].tolist()
+            for a, b in chunks(texts, 4_000_000):
+                tokens, size = token_sets(texts[a:b], n)
+                sid = set_ids(tokens, size)
+                start = np.cumsum(size) - size
+                # another row with the same doc_id may hold another text
+                usable = (size > 0) & (sid.view(np.int64) == rows["sid"].to_numpy()[a:b])
                 level = np.floor(np.log(np.maximum(size, 1)) / np.log(RATIO) + 1e-12).astype(np.int64)
                 level += (RATIO ** (level + 1) <= size).astype(np.int64) - (RATIO**level > size).astype(np.int64)
-                owner = np.repeat(np.arange(b - a), size)
-                for k in np.unique(level[size > 0]).tolist():
+                own, blocks, block = (rows[c].to_numpy()[a:b] for c in ("bin", "blocks", "block"))
+                mine = np.flatnonzero(usable)
+                mine = mine[np.lexsort((mine, level[mine], block[mine], own[mine]))]
+                kind = np.stack([own[mine], block[mine], level[mine]], axis=1)
+                cut = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]).any(axis=1), [True]])) if len(mine) else []
+                out = []
+                for x, y in zip(cut, cut[1:]):
+                    where, of, k, many_blocks = *kind[x].tolist(), int(blocks[mine[x]])
                     for at in itertools.count(k):  # the ranges above whose sets it may be near to
-                        inside = (level == k) & (size > 0)
+                        members = mine[x:y]
                         if at > k:
-                            inside &= size >= threshold * RATIO**at - 1e-9
-                        if not inside.any():
+                            members = members[size[members] >= threshold * RATIO**at - 1e-9]
+                        if not len(members):
                             break
                         many = groups_of(at, group_tokens)
-                        mine = inside[owner]
-                        t, w = tokens[mine], owner[mine]
+                        t, w = tokens[_ranges(start[members], size[members])], np.repeat(np.arange(len(members)), size[members])
                         g = ((t >> np.uint64(34)) % np.uint64(many)).astype(np.int64)
                         low = (t & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                         order = np.lexsort((low, w, g))
                         g, w, low = g[order], w[order], low[order]
-                        cut = np.searchsorted(g, np.arange(many + 1))
-                        members = np.flatnonzero(inside)
+                        edge = np.searchsorted(g, np.arange(many + 1))
                         for j in range(many):
-                            part = np.bincount(w[cut[j] : cut[j + 1]], minlength=b - a)[members]
-                            own = j == 0 and at == k
-                            out.append((at * _KEYS + j, sid[members].tobytes(), size[members].astype(np.uint32).tobytes(), part.astype(np.uint32).tobytes(), low[cut[j] : cut[j + 1]].tobytes(), ids[a:b][members].tobytes() if own else None))
+                            p, q = edge[j], edge[j + 1]
+                            part = np.bincount(w[p:q], minlength=len(members)).astype(np.uint32).tobytes()
+                            blob = (sid[members].tobytes(), size[members].astype(np.uint32).tobytes(), part, low[p:q].tobytes())
+                            out += [(where, min(of, z), max(of, z), at * _KEYS + j, *blob) for z in range(many_blocks)]
                 if out:
-                    yield pd.DataFrame(out, columns=["key", "sid", "size", "part", "tokens", "ids"])
+                    yield pd.DataFrame(out, columns=["bin", "low", "high", "key", "sid", "size", "part", "tokens"])
 
     return run
 
@@ -318,16 +457,10 @@ def local_pairs(size: np.ndarray, part: np.ndarray, tokens: np.ndarray, groups:
 
 
 def _match(threshold: float, group_tokens: int):
-    """Blobs of one (range, group) -> rows (kind, a, b, size): 0 for an edge between sets, 1 for (set, document)."""
+    """Blobs of one (bin, pair of blocks, range, group) -> edges (a, b) between sets."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        level = int(key[0]) // _KEYS
-        out = []
-        known = rows[rows["ids"].notna()]
-        if len(known):
-            s, d, z = (np.frombuffer(b"".join(known[c]), kind) for c, kind in (("sid", np.int64), ("ids", np.int64), ("size", np.uint32)))
-            out.append(pd.DataFrame({"kind": 1, "a": s, "b": d, "size": z.astype(np.int32)}))
-        del known
+        level = int(key[3]) // _KEYS
         # the blobs go as they are read: they are most of what the task holds
         sid, size, part, tokens = (np.frombuffer(b"".join(rows.pop(c)), kind) for c, kind in (("sid", np.uint64), ("size", np.uint32), ("part", np.uint32), ("tokens", np.uint32)))
         size, part = size.astype(np.int64), part.astype(np.int64)
@@ -337,12 +470,10 @@ def _match(threshold: float, group_tokens: int):
             one[first] = True
             tokens = tokens[np.repeat(one, part)]
         first.sort()
-        sids = sid[first]
+        ids = sid[first].view(np.int64)
         root = local_pairs(size[first], part[first], tokens, groups_of(level, group_tokens), threshold)
         child = np.flatnonzero(root != np.arange(len(root)))
-        ids = sids.view(np.int64)
-        out.append(pd.DataFrame({"kind": 0, "a": ids[child], "b": ids[root[child]], "size": 0}))
-        return pd.concat(out).astype({"kind": np.int32, "size": np.int32})
+        return pd.DataFrame({"a": ids[child], "b": ids[root[child]]})
 
     return run
 
@@ -436,31 +567,57 @@ def _sets(n: int):
     return run
 
 
-def _matched(docs: DataFrame, n: int, threshold: float, group_tokens: int, unit_tokens: int, unit_sets: int, forest: bool) -> tuple[DataFrame, DataFrame]:
+def _placed(lean: DataFrame, n: int, threshold: float, cell_chars: int, bin_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """(members(doc_id, sid), texts(sid, _doc, size, bin, blocks, block, text)): the sets that may have a partner, and a text of each, in bins that no pair leaves."""
+    spark = lean.sparkSession
+    chars = lean.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
+    cells = max(12, -(-chars // cell_chars))
+    own = "sid binary, size binary, ids binary"
+    blobs = lean.mapInPandas(_cells(n, cells), f"cell int, chunk long, sets int, many binary, tokens binary, {own}")
+    weighed = blobs.groupBy("cell").applyInPandas(_weigh, f"cell int, chunk long, sets int, many binary, tokens binary, weights binary, {own}")
+    prefixes = materialise(weighed.groupBy("chunk").applyInPandas(_prefixes(threshold, cells), "cell int, sid binary, tokens binary, size binary, ids binary"), "prefixes")
+    members = materialise(prefixes.where("cell < 0").select("sid", "size", "ids").mapInPandas(_members, "doc_id long, sid long, size int").distinct(), "members")
+    labels = components(prefixes.where("cell >= 0").select("cell", "sid", "tokens").groupBy("cell").applyInPandas(_meet, "a long, b long"))
+    first = members.groupBy("sid").agg(F.min("doc_id").alias("_doc"), F.max("size").alias("size")).join(labels, F.col("sid") == F.col("node")).drop("node")
+    first = materialise(first, "first")
+    bins = max(1, -(-first.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // bin_tokens))
+    # a component beyond a bin is joined in pairs of blocks
+    heavy = first.groupBy("label").agg(F.ceil(F.sum("size") / bin_tokens).cast("int").alias("blocks"))
+    where = F.when(F.col("blocks") > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(bins)))
+    placed = first.join(heavy, "label").select("sid", "_doc", "size", where.alias("bin"), "blocks", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"))
+    texts = lean.join(placed.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc")).select("sid", "_doc", "size", "bin", "blocks", "block", "text")
+    return members.select("doc_id", "sid"), materialise(texts.repartition("bin", "block"), "texts")
+
+
+def _parts(texts: DataFrame, n: int, threshold: float, group_tokens: int) -> DataFrame:
+    """What the group tasks hold: rows of one (bin, low, high, key) meet."""
+    kinds = "bin long, low int, high int, key long, sid binary, size binary, part binary, tokens binary"
+    return texts.select("sid", "bin", "blocks", "block", "text").mapInPandas(_spread(n, threshold, group_tokens), kinds)
+
+
+def _matched(docs: DataFrame, n: int, threshold: float, group_tokens: int, unit_tokens: int, unit_sets: int, forest: bool, cell_chars: int = 32_000_000, bin_tokens: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """(members(doc_id, sid), verified(a, b, jaccard) between sets)."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("threshold must be in (0, 1] and n at least 1")
     spark = docs.sparkSession
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null and text is not null")
-    blobs = lean.mapInPandas(_spread(n, threshold, group_tokens), "key long, sid binary, size binary, part binary, tokens binary, ids binary")
-    found = materialise(blobs.groupBy("key").applyInPandas(_match(threshold, group_tokens), "kind int, a long, b long, size int"), "matches")
-    members = found.where("kind = 1").select(F.col("b").alias("doc_id"), F.col("a").alias("sid")).distinct()
-    labels = components(found.where("kind = 0"))
-    named = found.where("kind = 1").select(F.col("b").alias("_doc"), F.col("a").alias("sid"), "size")
-    first = named.join(labels, F.col("sid") == F.col("node")).groupBy("sid", "label").agg(F.min("_doc").alias("_doc"), F.max("size").alias("size"))
+    members, texts = _placed(lean, n, threshold, cell_chars, bin_tokens)
+    found = _parts(texts, n, threshold, group_tokens).groupBy("bin", "low", "high", "key").applyInPandas(_match(threshold, group_tokens), "a long, b long")
+    labels = components(found)
+    first = texts.select("sid", "size").distinct().join(labels, F.col("sid") == F.col("node"))
     # a component of many elements or sets is verified in pairs of blocks, each a bounded piece of work
     blocks = first.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / unit_tokens), F.ceil(F.count("*") / unit_sets)).cast("int").alias("blocks"))
-    placed = first.join(blocks, "label").select("label", "sid", "_doc", "size", "blocks", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"))
+    placed = first.join(blocks, "label").select("label", F.col("sid").alias("_sid"), "size", "blocks", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"))
     placed = materialise(placed, "placed")
-    texts = lean.join(placed.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc")).select("label", "sid", "blocks", "block", "text")
-    units = texts.mapInPandas(_sets(n), "label long, low int, high int, block int, sid long, size int, tokens binary")
+    near = texts.select("sid", "text").join(placed.hint("shuffle_hash"), F.col("sid") == F.col("_sid")).select("label", "sid", "blocks", "block", "text")
+    units = near.mapInPandas(_sets(n), "label long, low int, high int, block int, sid long, size int, tokens binary")
     held = placed.agg(F.coalesce(F.sum(F.col("size") * F.col("blocks")), F.lit(0))).first()[0]
     spread = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // unit_tokens))
     units = units.withColumn("bucket", F.pmod(F.xxhash64("label", "low", "high"), F.lit(spread)))
     return members, units.groupBy("bucket").applyInPandas(_verify(threshold, forest), "a long, b long, jaccard double")
 
 
-def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.55, group_tokens: int = 64, unit_tokens: int = 2_000_000, unit_sets: int = 1500) -> DataFrame:
+def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.55, group_tokens: int = 64, unit_tokens: int = 2_000_000, unit_sets: int = 1500, **bounds) -> DataFrame:
     """doc_id_a < doc_id_b and jaccard (rounded to 6 places) of the documents of docs(doc_id, text, ...) with Jaccard >= threshold.
 
     A set holds the distinct n-grams of lower-cased words (runs of letters,
@@ -476,7 +633,7 @@ def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.55, group_to
     each, pair with others by the higher value and never with each other. An
     empty table gives an empty result. Other columns are not read.
     """
-    members, verified = _matched(docs, n, threshold, group_tokens, unit_tokens, unit_sets, forest=False)
+    members, verified = _matched(docs, n, threshold, group_tokens, unit_tokens, unit_sets, False, **bounds)
     members, verified = materialise(members, "members"), materialise(verified, "pairs")
     classes = members.groupBy("sid").agg(F.min("doc_id").alias("rep"))
     left, right = (classes.select(F.col("rep").alias(f"d{x}"), F.col("sid").alias(f"s{x}")) for x in "ab")
@@ -488,20 +645,20 @@ def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.55, group_to
     return pairs.groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard")) if repeats else pairs
 
 
-def near_copies(docs: DataFrame, n: int = 3, threshold: float = 0.55, group_tokens: int = 64, unit_tokens: int = 2_000_000, unit_sets: int = 1500) -> DataFrame:
+def near_copies(docs: DataFrame, n: int = 3, threshold: float = 0.55, group_tokens: int = 64, unit_tokens: int = 2_000_000, unit_sets: int = 1500, **bounds) -> DataFrame:
     """(doc_id, keeper) of every document that similar_pairs() connects, directly or through others, to a document of lower id.
 
     Null ids, null texts, texts without a word, repeated rows, very long texts,
     an empty table and other columns are treated as there.
     """
-    members, verified = _matched(docs, n, threshold, group_tokens, unit_tokens, unit_sets, forest=True)
+    members, verified = _matched(docs, n, threshold, group_tokens, unit_tokens, unit_sets, True, **bounds)
     labels = components(verified.select("a", "b"))
     grouped = members.join(labels, F.col("sid") == F.col("node"), "left").select("doc_id", F.coalesce("label", "sid").alias("label"))
     keeper = grouped.groupBy("label").agg(F.min("doc_id").alias("keeper"))
     return grouped.join(keeper, "label").where("doc_id <> keeper").groupBy("doc_id").agg(F.min("keeper").alias("keeper"))
 
 
-def near_classes(docs: DataFrame, n: int = 3, threshold: float = 0.55, group_tokens: int = 64, unit_tokens: int = 2_000_000, unit_sets: int = 1500) -> DataFrame:
+def near_classes(docs: DataFrame, n: int = 3, threshold: float = 0.55, group_tokens: int = 64, unit_tokens: int = 2_000_000, unit_sets: int = 1500, **bounds) -> DataFrame:
     """doc_id, class_id, links: one row for each document of docs(doc_id, text, ...).
 
     class_id is the lowest id among the documents that it is connected to by
@@ -514,7 +671,7 @@ def near_classes(docs: DataFrame, n: int = 3, threshold: float = 0.55, group_tok
     texts takes the lowest class of them and the links of all. An empty table
     gives an empty result. Other columns are not read.
     """
-    members, verified = _matched(docs, n, threshold, group_tokens, unit_tokens, unit_sets, forest=False)
+    members, verified = _matched(docs, n, threshold, group_tokens, unit_tokens, unit_sets, False, **bounds)
     members, verified = materialise(members, "members"), materialise(verified.select("a", "b"), "links")
     labels = components(verified)
     links = verified.select(F.explode(F.array("a", "b")).alias("linked")).groupBy("linked").agg(F.count("*").alias("links"))

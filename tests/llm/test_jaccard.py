@@ -115,3 +115,22 @@ def test_edges_and_dedupe(spark):
     kept = J.deduplicate(df)
     assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 8]
     assert found(spark, []) == {} and J.deduplicate(df.limit(0)).count() == 0
+
+
+def test_no_group_task_grows_with_the_corpus(spark):
+    bound, most = 1500, []
+    for many in (60, 240):
+        df = spark.createDataFrame(texts(7, many), "doc_id long, text string")
+        placed = J._placed(df, 3, 0.55, 20_000, bound)[1]
+        parts = J._parts(placed, 3, 0.55, 64).selectExpr("bin", "low", "high", "key", "length(tokens) / 4 as tokens")
+        held = parts.groupBy("bin", "low", "high", "key").sum("tokens").toPandas()["sum(tokens)"]
+        most.append(held.max())
+        assert held.max() <= 2 * bound
+    assert held.sum() > 6 * bound and most[1] < 2 * most[0]
+
+
+def test_component_beyond_a_bin_loses_no_pair(spark):
+    r = random.Random(3)
+    base = [f"w{r.randrange(500)}" for _ in range(80)]
+    rows = [(i, " ".join(w if r.random() > 0.08 else f"w{r.randrange(500)}" for w in base)) for i in range(60)]
+    assert found(spark, rows, group_tokens=8, cell_chars=1_000, bin_tokens=300) == brute(rows, 0.55)
