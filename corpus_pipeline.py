@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import jaccard, packing, quality, secrets, toxicity
-from lodestone.runtime import materialise
+from lodestone.runtime import materialise, scratch
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redact(docs)
+    # two runs, as of op2_secrets: English documents fill the ledger, then the blobs that it lacks are scanned
+    folder = scratch(spark, "secrets")
+    found, added = secrets.scan_places(docs.where("lang = 'en'"))
+    secrets.save(folder, 1, added, found)
+    ledger, reported = secrets.load(spark, folder)
+    return secrets.redact_found(docs, secrets.scan_places(docs, ledger, reported=reported)[0])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,18 +74,28 @@ def unseen(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...])
     return blobs.join(done, "blob", "left").withColumn("todo", left).drop("_done").where(F.size("todo") > 0)
 
 
-def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Findings (blob, rule, rule_version, ordinal, secret_sha256, secret_chars) in blobs(blob, content, todo)."""
+def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, places: bool = False) -> DataFrame:
+    """Findings (blob, rule, rule_version, ordinal, secret_sha256, secret_chars) in blobs(blob, content, todo); with `places` also start, from 1."""
     lowered = F.lower(F.col("content"))
 
+    def placed(r: Rule):
+        def row(x, i):
+            m = F.substring(F.col("content"), x["start"], x["end"] - x["start"])
+            return F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("rule_version"), (i + 1).alias("ordinal"), F.sha2(m, 256).alias("secret_sha256"), F.char_length(m).alias("secret_chars"), x["start"].alias("start"))
+
+        return F.when(F.array_contains("todo", r.name), F.transform(_spans(r, F.col("content"), F.col("_low")), row))
+
     def found(r: Rule):
+        if places:
+            return placed(r)
+
         def row(m, i):
             return F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("rule_version"), (i + 1).alias("ordinal"), F.sha2(m, 256).alias("secret_sha256"), F.char_length(m).alias("secret_chars"))
 
         hits = F.regexp_extract_all(F.col("content"), F.lit(r.pattern), F.lit(0))
         return F.when(F.array_contains("todo", r.name) & _hit(r, F.col("_low")), F.transform(hits, row))
 
-    empty = F.array().cast("array<struct<rule:string,rule_version:int,ordinal:int,secret_sha256:string,secret_chars:int>>")
+    empty = F.array().cast("array<struct<rule:string,rule_version:int,ordinal:int,secret_sha256:string,secret_chars:int" + ",start:int" * places + ">>")
     every = F.concat(*[F.coalesce(found(r), empty) for r in rules])
     return blobs.withColumn("_low", lowered).select("blob", F.inline(every))
 
@@ -109,6 +119,12 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     pairs that this run scanned are returned. An empty table gives two empty
     results. Other columns are not read.
     """
+    index, found, additions = _scanned(versions, ledger, rules, reported)
+    return index.join(found, "blob").select("doc_id", "source", "blob", "rule", "rule_version", "ordinal", "secret_sha256", "secret_chars"), additions
+
+
+def _scanned(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], reported: DataFrame | None, places: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(index(doc_id, source, blob), findings by blob, additions to the ledger) of scan()."""
     paths = versions.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.col("text").alias("content"))
     paths = paths.withColumn("blob", blob_id(F.col("content")))
     index = materialise(paths.select("doc_id", "source", "blob"), "blob-index")
@@ -119,7 +135,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
         todo.hint("shuffle_hash").select(F.col("blob").alias("_blob"), "_doc", "_source", "todo"),
         F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("blob") == F.col("_blob")),
     )
-    found = materialise(scan_blobs(texts.select("blob", "content", "todo"), rules).distinct(), "findings")
+    found = materialise(scan_blobs(texts.select("blob", "content", "todo"), rules, places).distinct(), "findings")
     if reported is not None:
         current = F.lit(False)
         for r in rules:
@@ -127,7 +143,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
         found = found.unionByName(reported.where(current).select(found.columns)).distinct()
     additions = todo.select("blob", F.explode("todo").alias("rule"))
     versions_of = F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.version)])
-    return index.join(found, "blob").select("doc_id", "source", "blob", "rule", "rule_version", "ordinal", "secret_sha256", "secret_chars"), additions.withColumn("rule_version", versions_of[F.col("rule")])
+    return index, found, additions.withColumn("rule_version", versions_of[F.col("rule")])
 
 
 def _spans(rule: Rule, text, lowered):
@@ -150,7 +166,11 @@ def _spans(rule: Rule, text, lowered):
 def _redacted(text, rules: tuple[Rule, ...], mark: str):
     """text with the union of the spans of all rules replaced; spans that overlap become one mark."""
     lowered = F.lower(text)
-    spans = F.array_sort(F.concat(*[_spans(r, text, lowered) for r in rules]))
+    return _cut(text, F.array_sort(F.concat(*[_spans(r, text, lowered) for r in rules])), mark)
+
+
+def _cut(text, spans, mark: str):
+    """text with the union of spans, in order of their start, replaced."""
     begin = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
     def add(s, x):
@@ -163,6 +183,7 @@ def _redacted(text, rules: tuple[Rule, ...], mark: str):
 def save(folder: str, run: int, additions: DataFrame, findings: DataFrame) -> None:
     """Keep what a scan of a run added under `folder`, which all executors share; saving a run again replaces it."""
     columns = ["blob", "rule", "rule_version", "ordinal", "secret_sha256", "secret_chars"]
+    columns += [c for c in ("start",) if c in findings.columns]
     additions.write.mode("overwrite").parquet(f"{folder}/ledger/run={run}")
     findings.select(columns).distinct().write.mode("overwrite").parquet(f"{folder}/findings/run={run}")
 
@@ -182,8 +203,12 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
     whatever length; null texts stay null. An empty table gives an empty result.
     """
     text, name = F.col("text"), free_name(docs, "redacted")
-    changed = docs.withColumn(name, F.when(_any_hit(rules, F.lower(text)), _redacted(text, rules, mark)).otherwise(text))
-    new, out = F.col(name), []
+    return _with_text(docs, docs.withColumn(name, F.when(_any_hit(rules, F.lower(text)), _redacted(text, rules, mark)).otherwise(text)), name)
+
+
+def _with_text(docs: DataFrame, changed: DataFrame, name: str) -> DataFrame:
+    """The columns of docs, text taken from the column `name` of changed and n_chars set to its length."""
+    text, new, out = F.col("text"), F.col(name), []
     for c in docs.columns:
         if c == "text":
             out.append(new.alias("text"))
@@ -193,3 +218,34 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
         else:
             out.append(F.col(f"`{c}`"))
     return changed.select(*out)
+
+
+def scan_places(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, reported: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(findings by blob, additions to the ledger) of scan(), for save() and redact_found().
+
+    Findings: blob, rule, rule_version, ordinal, secret_sha256, secret_chars,
+    start (the character where the secret begins, from 1). `reported` must hold
+    start too, as what scan_places() found and save() kept does. Nulls, repeated
+    rows, long texts, an empty table and other columns are treated as in scan().
+    """
+    if reported is not None and "start" not in reported.columns:
+        raise ValueError("the findings reported so far have no start: scan their blobs again without the ledger")
+    _, found, additions = _scanned(versions, ledger, rules, reported, places=True)
+    return found, additions
+
+
+def redact_found(docs: DataFrame, found: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
+    """docs with the findings of scan_places() replaced by `mark`, as redact() does, but no text is scanned again.
+
+    Only rows that hold a hint of some rule meet the findings of their blob; the
+    others pass. All rows and columns stay, repeated rows too; null texts stay
+    null, texts of any length are handled, an empty table gives an empty result.
+    """
+    text, name = F.col("text"), free_name(docs, "redacted")
+    blob, spans = free_name(docs, "blob"), free_name(docs, "spans")
+    span = F.struct(F.col("start").alias("start"), (F.col("start") + F.col("secret_chars")).alias("end"))
+    of = found.groupBy("blob").agg(F.array_sort(F.collect_list(span))).toDF(blob, spans)
+    hinted = F.coalesce(_any_hit(rules, F.lower(text)), F.lit(False))
+    asked = docs.where(hinted).join(of.hint("shuffle_hash"), blob_id(text) == F.col(blob), "left")
+    changed = asked.withColumn(name, F.when(F.col(spans).isNotNull(), _cut(text, F.col(spans), mark)).otherwise(text))
+    return _with_text(docs, changed, name).unionByName(docs.where(~hinted))

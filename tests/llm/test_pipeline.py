@@ -41,3 +41,13 @@ def test_empty_documents(spark, sf, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
         assert docs.count() == 0
+
+
+def test_redaction_goes_through_the_ledger(spark, sf, monkeypatch):
+    docs, saved, ledgers = spark.read.parquet(f"{sf}/documents.parquet"), [], []
+    save, scan = secrets.save, secrets.scan_places
+    monkeypatch.setattr(secrets, "save", lambda folder, run, added, found: (saved.append(added.count()), save(folder, run, added, found)))
+    monkeypatch.setattr(secrets, "scan_places", lambda d, ledger=None, **k: (ledgers.append(ledger), scan(d, ledger, **k))[1])
+    out = dict(corpus_pipeline.STAGES)["secrets"](spark, docs, sf)
+    assert saved[0] > 0 and ledgers[0] is None and ledgers[1].count() == saved[0]
+    assert sorted(map(str, out.collect())) == sorted(map(str, secrets.redact(docs).collect()))
