@@ -42,6 +42,21 @@ class Index:
         self.order = np.argsort(self.placed, axis=1, kind="stable").astype(np.int32)
         self.values = np.take_along_axis(self.placed, self.order, axis=1)
         self.norms = (data**2).sum(axis=1)
+        # the same projections in 256 steps, for windows that hold much of the block
+        self.least = self.placed.min(axis=1)
+        self.step = np.maximum((self.placed.max(axis=1) - self.least) / 255, 1e-300)
+        self.codes = np.clip(np.floor((self.placed - self.least[:, None]) / self.step[:, None]), 0, 255).astype(np.uint8)
+
+    def count_windows(self, centre: np.ndarray, half: float, counts: np.ndarray, gap: np.ndarray, inside: np.ndarray) -> bool:
+        """Counts, for every row, the windows that hold it, widened to whole steps; whether they hold everything."""
+        first = np.floor((centre - half - self.least) / self.step)
+        last = np.floor((centre + half - self.least) / self.step)
+        low, high = np.clip(first, 0, 255).astype(np.uint8), np.clip(last, 0, 255).astype(np.uint8)
+        np.subtract(self.codes, low[:, None], out=gap)  # below the window it wraps around
+        np.less_equal(gap, (high - low)[:, None], out=inside)
+        inside[(last < 0) | (first > 255)] = False
+        np.add.reduce(inside.view(np.uint8), axis=0, dtype=counts.dtype, out=counts)
+        return bool(((first <= 0) & (last >= 255)).all())
 
     def search(self, queries: np.ndarray, skip: np.ndarray, k: int, radius: float, width: float = 2.0, share: float = 0.7, grow: float = 1.25, margin: float = 1.25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, data row, squared distance) of up to k neighbours of each query, data rows with skip[query] == their number left out.
@@ -50,8 +65,11 @@ class Index:
         last widening goes to `margin` times the k-th distance and no further.
         Rows that tie with the k-th are returned too.
 
-        A widening adds one to the counts of the rows on its flanks, or, where the
-        flanks hold much of the block, counts the windows of every row again.
+        A widening adds one to the counts of the rows on its flanks. Once the
+        flanks hold much of the block, the windows of every row are counted
+        again, in steps of a 256th of the projections' range (windows widen to
+        whole steps, so no collision is lost), and the distances of many queries
+        are taken at once.
         """
         n, m = len(self.data), len(self.lines)
         need = int(np.ceil(share * m))
@@ -59,8 +77,9 @@ class Index:
         centre = queries @ self.lines.T
         counts = np.zeros(n, np.uint8 if m < 256 else np.uint16)
         verified = np.zeros(n, bool)
-        gap, inside = np.empty(n), np.empty(n, bool)
+        gap, inside = np.empty((m, n), np.uint8), np.empty((m, n), bool)
         middle = np.stack([a.searchsorted(centre[:, j]) for j, a in enumerate(self.values)], axis=1)
+        many, many_from = None, -64
         for q in range(len(queries)):
             counts[:] = 0
             verified[:] = False
@@ -68,46 +87,45 @@ class Index:
             r = radius
             seen, dist, every = np.zeros(0, np.int64), np.zeros(0), None
             own = int(skip[q])
+            dense = False
             while True:
                 half = r * width / 2
-                left = np.array([a.searchsorted(c - half) for a, c in zip(self.values, centre[q])])
-                right = np.array([a.searchsorted(c + half, side="right") for a, c in zip(self.values, centre[q])])
-                left, right = np.minimum(left, lo), np.maximum(right, hi)
-                if 12 * int((lo - left + right - hi).sum()) > m * n:
-                    counts[:] = 0
-                    for j in range(m):
-                        np.subtract(self.placed[j], centre[q, j], out=gap)
-                        np.abs(gap, out=gap)
-                        np.less_equal(gap, half, out=inside)
-                        counts += inside.view(np.uint8)
+                if not dense:
+                    left = np.array([a.searchsorted(c - half) for a, c in zip(self.values, centre[q])])
+                    right = np.array([a.searchsorted(c + half, side="right") for a, c in zip(self.values, centre[q])])
+                    left, right = np.minimum(left, lo), np.maximum(right, hi)
+                    dense = 40 * int((lo - left + right - hi).sum()) > m * n
+                if dense:
+                    whole = self.count_windows(centre[q], half, counts, gap, inside)
                 else:
                     for j in range(m):
                         counts[self.order[j, left[j] : lo[j]]] += 1
                         counts[self.order[j, hi[j] : right[j]]] += 1
-                lo, hi = left, right
+                    lo, hi = left, right
+                    whole = bool((lo == 0).all() and (hi == n).all())
                 found = np.flatnonzero(counts >= need)
                 if len(found) > len(seen):
                     fresh = found[~verified[found]]
-                    verified[fresh] = True
-                    if every is None and 6 * len(fresh) > n:  # the distances of many at once
-                        every = np.maximum(self.norms + queries[q] @ queries[q] - 2 * (self.data @ queries[q]), 0)
+                    if every is None and 400 * len(fresh) > n:
+                        if not many_from <= q < many_from + 64:
+                            many_from = q
+                            many = queries[q : q + 64] @ self.data.T
+                        every = np.maximum(self.norms + queries[q] @ queries[q] - 2 * many[q - many_from], 0)
                     if every is None:
+                        verified[fresh] = True
                         step = self.data[fresh] - queries[q]
-                        found_at = np.einsum("ij,ij->i", step, step)
+                        seen, dist = np.concatenate([seen, fresh]), np.concatenate([dist, np.einsum("ij,ij->i", step, step)])
                     else:
-                        found_at = every[fresh]
-                    seen, dist = np.concatenate([seen, fresh]), np.concatenate([dist, found_at])
+                        seen, dist = found, every[found]  # counts never fall, so these hold all seen before
                 others = seen != own
                 known = dist[others]
                 if len(known) >= n - (0 <= own < n):
                     break
-                # as far as the k-th verified distance asks for, which may fall on the way
+                # as far as the k-th verified distance asks for, which may fall on the way; at once where all windows are counted anyway
                 goal = margin * float(np.sqrt(np.partition(known, k - 1)[k - 1])) if len(known) >= k else np.inf
-                if goal <= r:
-                    break
-                if (lo == 0).all() and (hi == n).all():
+                if goal <= r or whole:
                     break
-                r = min(r * grow, goal)
+                r = goal if dense and goal < np.inf else min(r * grow, goal)
             rows, d = seen[others], dist[others]
             if len(rows) > k:
                 edge = np.partition(d, k - 1)[k - 1]

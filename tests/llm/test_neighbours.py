@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 
 from lodestone.llm import neighbours as N
@@ -69,3 +71,28 @@ def test_recall_whatever_the_density():
         q, rows, squared = N.Index(points).search(points[asked], asked, k, N.start_radius(points, k))
         got = [set(rows[q == i][np.argsort(squared[q == i], kind="stable")[:k]]) for i in range(len(asked))]
         assert np.mean([len(got[i] & set(want[i])) / k for i in range(len(asked))]) >= 0.93, name
+
+
+def test_a_search_costs_less_than_plain_distances():
+    g = np.random.default_rng(8)
+    x, k = g.standard_normal((16_384, 64)), 10
+    asked = np.arange(0, len(x), 256)
+    index, radius = N.Index(x), N.start_radius(x, k)
+    counts, gap, inside = np.zeros(len(x), np.uint8), np.empty((40, len(x)), np.uint8), np.empty((40, len(x)), bool)
+    centre, half = x[5] @ index.lines.T, 4.0
+    assert not index.count_windows(centre, half, counts, gap, inside)
+    exact = (np.abs(index.placed - centre[:, None]) <= half).sum(axis=0)
+    assert (counts >= exact).all() and counts.sum() < 1.2 * exact.sum()
+
+    def plain():
+        for q in asked:
+            d = ((x - x[q]) ** 2).sum(axis=1)
+            np.argpartition(d, k)[:k]
+
+    def seconds(f):
+        began = time.thread_time()
+        f()
+        return time.thread_time() - began
+
+    took = min(seconds(lambda: index.search(x[asked], asked, k, radius)) for _ in range(2))
+    assert took < min(seconds(plain) for _ in range(2))
