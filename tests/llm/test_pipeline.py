@@ -51,3 +51,10 @@ def test_redaction_goes_through_the_ledger(spark, sf, monkeypatch):
     out = dict(corpus_pipeline.STAGES)["secrets"](spark, docs, sf)
     assert saved[0] > 0 and ledgers[0] is None and ledgers[1].count() == saved[0]
     assert sorted(map(str, out.collect())) == sorted(map(str, secrets.redact(docs).collect()))
+
+
+def test_near_copies_do_not_depend_on_the_bins(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near copies"](spark, docs, sf).select("doc_id").collect()}
+    small = {r.doc_id for r in jaccard.deduplicate(docs, bin_tokens=5_000).select("doc_id").collect()}
+    assert kept == small and 0 < len(kept) < docs.count()
