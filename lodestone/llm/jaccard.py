@@ -11,9 +11,11 @@ H = (1 - t) / (1 + t) * (|r| + |s|) elements.
    many rows hold each element. A partner shares at least t of a set's elements,
    so sets with fewer shared ones go; and of the shared ones, rarest first, both
    sets of a pair hold a common one among the first (shared - t * size + 1).
-   Sets that share one there are connected; a bin holds whole components, and a
-   component beyond a bin is joined in pairs of blocks of its sets. So no later
-   task grows with the corpus.
+   Sets that share one there are connected, unless a lower bound of their
+   difference, from parities of their shared elements, is above H; of an element
+   that many sets hold there, all are connected without that. A bin holds whole
+   components, and a component beyond a bin is joined in pairs of blocks of its
+   sets. So no later task grows with the corpus.
 1. The sets of a bin are divided by size into ranges so wide that every possible
    pair shares one, and the universe of each range is divided by hash into G groups.
    By the pigeonhole principle a pair differs by at most H / G in some group.
@@ -57,6 +59,12 @@ RATIO = 2
 """A size range spans this factor, beside the smaller partners from all ranges below."""
 
 
+_PAIRED, _PAIRS = 64, 4_000_000
+"""Sets that hold a common element in their prefixes are looked at in pairs if they are at most so many; and so many pairs a cell."""
+
+_PIECE = 16_000_000
+"""Bytes of blobs that a mapper hands on at once."""
+
 _KEYS = 1 << 24
 """Group numbers of one size range; a range has RATIO**level // group_tokens groups, far fewer for any text."""
 
@@ -139,10 +147,11 @@ def _cells(n: int, cells: int):
                 low, owner = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], np.repeat(np.arange(len(sid)), size)[order]
                 cut = np.searchsorted(cell[order], np.arange(cells + 1))
                 out = []
+                # what belongs to no cell goes by a negative one that few chunks have, so that no cell holds it for the whole corpus
+                out.append((-1 - int(name) % cells, name, len(sid), None, None, sid.tobytes(), size.astype(np.uint32).tobytes(), docs.tobytes()))
                 for j in range(cells):
                     x, y = cut[j], cut[j + 1]
-                    own = (sid.tobytes(), size.astype(np.uint32).tobytes(), docs.tobytes()) if j == 0 else (None, None, None)
-                    out.append((j, name, len(sid), _packed(np.bincount(owner[x:y], minlength=len(sid))), low[x:y].tobytes(), *own))
+                    out.append((j, name, len(sid), _packed(np.bincount(owner[x:y], minlength=len(sid))), low[x:y].tobytes(), None, None, None))
                 yield pd.DataFrame(out, columns=["cell", "chunk", "sets", "many", "tokens", "sid", "size", "ids"])
 
     return run
@@ -150,6 +159,8 @@ def _cells(n: int, cells: int):
 
 def _weigh(rows: pd.DataFrame) -> pd.DataFrame:
     """Blobs of one cell -> the same less the elements that one row alone holds, each of the others with its frequency."""
+    if rows["cell"].iat[0] < 0:
+        return rows.assign(weights=None)[["cell", "chunk", "sets", "many", "tokens", "weights", "sid", "size", "ids"]]
     tokens = np.frombuffer(b"".join(rows["tokens"]), np.uint32)
     every, x, left, kept, weights = frequencies(tokens), 0, [], [], []
     for sets, many, blob in zip(rows["sets"], rows["many"], rows["tokens"]):
@@ -162,14 +173,32 @@ def _weigh(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(many=left, tokens=kept, weights=weights)[["cell", "chunk", "sets", "many", "tokens", "weights", "sid", "size", "ids"]]
 
 
+def _widths(shared: np.ndarray) -> np.ndarray:
+    """Bytes of the parities of so many elements: a power of 2, from 8 to 4096, of 4 bits or more an element if that is enough."""
+    return (1 << np.ceil(np.log2(np.clip(shared / 2, 8, 4096))).astype(np.int64)).astype(np.int64)
+
+
+def sketches(owner: np.ndarray, cell: np.ndarray, low: np.ndarray, shared: np.ndarray) -> bytes:
+    """Parities of the elements (cell, low) of each set by hash, set after set; owner ascends.
+
+    The parities of two sets differ in no more places than the sets in elements;
+    those of half the width are the one half XOR the other.
+    """
+    width = _widths(shared) * 8
+    base = np.cumsum(width) - width
+    place = mix((cell.astype(np.uint64) << np.uint64(32)) + low.astype(np.uint64)).view(np.int64) & (width - 1)[owner]
+    odd = np.bincount(base[owner] + place, minlength=int(width.sum())).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
 def _prefixes(threshold: float, cells: int):
     """All cells of one chunk -> blobs of the prefixes of its sets, one per cell, and at cell -1 the sets that may have a partner."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("cell")
-        if rows["cell"].tolist() != list(range(cells)):
+        own, rows = rows.iloc[0], rows.iloc[1:]
+        if own["cell"] >= 0 or rows["cell"].tolist() != list(range(cells)):
             raise RuntimeError("a chunk came back in part: its task was repeated over other rows")
-        own = rows.iloc[0]
         sets = int(own["sets"])
         sid, size, ids = np.frombuffer(own["sid"], np.int64), np.frombuffer(own["size"], np.uint32).astype(np.int64), np.frombuffer(own["ids"], np.int64)
         owner = np.concatenate([np.repeat(np.arange(sets), _unpacked(m, sets)) for m in rows["many"]])
@@ -182,16 +211,17 @@ def _prefixes(threshold: float, cells: int):
         owner, low, weight, cell = owner[pick], low[pick], weight[pick], cell[pick]
         order = np.lexsort((low, cell, weight, owner))
         owner, low, cell = owner[order], low[order], cell[order]
+        sketch = sketches((np.cumsum(alive) - 1)[owner], cell, low, shared[alive])
         place = np.arange(len(owner)) - np.repeat(np.cumsum(shared * alive) - shared * alive, shared * alive)
         pick = place <= (shared - least)[owner]
         owner, low, cell = owner[pick], low[pick], cell[pick]
         order = np.argsort(cell, kind="stable")
         owner, low = owner[order], low[order]
         cut = np.searchsorted(cell[order], np.arange(cells + 1))
-        out = [(j, sid[owner[x:y]].tobytes(), low[x:y].tobytes(), None, None) for j, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
+        out = [(j, sid[owner[x:y]].tobytes(), low[x:y].tobytes(), None, None, None, None) for j, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
         if alive.any():
-            out.append((-1, sid[alive].tobytes(), None, size[alive].astype(np.int32).tobytes(), ids[alive].tobytes()))
-        return pd.DataFrame(out, columns=["cell", "sid", "tokens", "size", "ids"])
+            out.append((-1, sid[alive].tobytes(), None, size[alive].astype(np.int32).tobytes(), ids[alive].tobytes(), shared[alive].astype(np.int32).tobytes(), sketch))
+        return pd.DataFrame(out, columns=["cell", "sid", "tokens", "size", "ids", "shared", "sketch"])
 
     return run
 
@@ -202,21 +232,73 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc_id": np.frombuffer(ids, np.int64), "sid": np.frombuffer(sid, np.int64), "size": np.frombuffer(size, np.int32)})
 
 
+def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        for sid, size, shared, blob in zip(rows["sid"], rows["size"], rows["shared"], rows["sketch"]):
+            shared = np.frombuffer(shared, np.int32)
+            ends = np.cumsum(_widths(shared)).tolist()
+            parts = [blob[x:y] for x, y in zip([0, *ends], ends)]
+            yield pd.DataFrame({"sid": np.frombuffer(sid, np.int64), "size": np.frombuffer(size, np.int32), "shared": shared, "sketch": parts})
+
+
 def _meet(rows: pd.DataFrame) -> pd.DataFrame:
-    """Prefixes of one cell -> a spanning forest of the sets that share an element of them."""
+    """Prefixes of one cell -> pairs of the sets that share an element of them.
+
+    Where many sets share one, it is a spanning forest of them, marked hot.
+    """
     sid, which = np.unique(np.frombuffer(b"".join(rows["sid"]), np.int64), return_inverse=True)
-    tokens = np.frombuffer(b"".join(rows["tokens"]), np.uint32)
-    order = np.argsort(tokens, kind="stable")
+    tokens, n = np.frombuffer(b"".join(rows["tokens"]), np.uint32), len(sid)
+    order = np.lexsort((which, tokens))
     tokens, which = tokens[order], which[order]
+    one = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (which[1:] != which[:-1])])  # equal sets come from many rows
+    tokens, which = tokens[one], which[one]
     first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-    forest = _Forest(len(sid))
-    forest.join(which, np.repeat(which[first], np.diff(np.append(first, len(which)))))
-    child = np.flatnonzero(forest.root != np.arange(len(sid)))
-    return pd.DataFrame({"a": sid[child], "b": sid[forest.root[child]]})
+    many = np.diff(np.append(first, len(which)))
+    left, pairs = _PAIRS, [np.zeros(0, np.int64)]
+    hot = many > _PAIRED
+    for m in range(2, _PAIRED + 1):
+        at = first[many == m]
+        fit = left // (m * (m - 1) // 2)
+        if len(at) > fit:
+            hot |= (many == m) & (np.cumsum(many == m) > fit)
+            at = at[:fit]
+        left -= len(at) * (m * (m - 1) // 2)
+        for i in range(m - 1):
+            x = which[at + i]
+            pairs.append(np.unique(np.concatenate([x * n + which[at + j] for j in range(i + 1, m)])))
+    pair = np.unique(np.concatenate(pairs))
+    forest = _Forest(n)
+    start, count = first[hot], many[hot]
+    forest.join(which[_ranges(start, count)], np.repeat(which[start], count))
+    child = np.flatnonzero(forest.root != np.arange(n))
+    return pd.DataFrame({"a": sid[np.append(pair // n, forest.root[child])], "b": sid[np.append(pair % n, child)], "hot": np.arange(len(pair) + len(child)) >= len(pair)})
+
+
+def _close(threshold: float):
+    """Pairs with sizes and parities -> those whose sets may be near enough."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            size = [rows[c].to_numpy(np.int64) for c in ("size_a", "size_b")]
+            least = sum(size) - rows["shared_a"].to_numpy(np.int64) - rows["shared_b"].to_numpy(np.int64)  # no other set holds these
+            wide = np.stack([rows[c].str.len().to_numpy(np.int64) for c in ("sketch_a", "sketch_b")], axis=1).reshape(-1, 2)
+            for kind in np.unique(wide, axis=0):
+                at = np.flatnonzero((wide == kind).all(axis=1))
+                parity = [np.frombuffer(b"".join(rows[c].iloc[at]), np.uint8).reshape(len(at), -1) for c in ("sketch_a", "sketch_b")]
+                for k in (0, 1):
+                    while parity[k].shape[1] > kind.min():
+                        half = parity[k].shape[1] // 2
+                        parity[k] = parity[k][:, :half] ^ parity[k][:, half:]
+                least[at] += np.bitwise_count(parity[0] ^ parity[1]).sum(axis=1, dtype=np.int64)
+            good = (least <= allowed(sum(size), threshold)) & (np.minimum(*size) >= threshold * np.maximum(*size) - 1e-9)
+            yield rows.loc[good, ["a", "b"]]
+
+    return run
 
 
 def _spread(n: int, threshold: float, group_tokens: int):
     """Placed texts -> blobs of set parts, one per (chunk, bin, pair of blocks, range, group)."""
+    columns = ["bin", "low", "high", "key", "sid", "size", "part", "tokens"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -234,7 +316,7 @@ def _spread(n: int, threshold: float, group_tokens: int):
                 mine = mine[np.lexsort((mine, level[mine], block[mine], own[mine]))]
                 kind = np.stack([own[mine], block[mine], level[mine]], axis=1)
                 cut = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]).any(axis=1), [True]])) if len(mine) else []
-                out = []
+                out, held = [], 0
                 for x, y in zip(cut, cut[1:]):
                     where, of, k, many_blocks = *kind[x].tolist(), int(blocks[mine[x]])
                     for at in itertools.count(k):  # the ranges above whose sets it may be near to
@@ -254,9 +336,14 @@ def _spread(n: int, threshold: float, group_tokens: int):
                             p, q = edge[j], edge[j + 1]
                             part = np.bincount(w[p:q], minlength=len(members)).astype(np.uint32).tobytes()
                             blob = (sid[members].tobytes(), size[members].astype(np.uint32).tobytes(), part, low[p:q].tobytes())
-                            out += [(where, min(of, z), max(of, z), at * _KEYS + j, *blob) for z in range(many_blocks)]
+                            for z in range(many_blocks):
+                                out.append((where, min(of, z), max(of, z), at * _KEYS + j, *blob))
+                                held += sum(map(len, blob))
+                                if held > _PIECE:
+                                    yield pd.DataFrame(out, columns=columns)
+                                    out, held = [], 0
                 if out:
-                    yield pd.DataFrame(out, columns=["bin", "low", "high", "key", "sid", "size", "part", "tokens"])
+                    yield pd.DataFrame(out, columns=columns)
 
     return run
 
@@ -548,10 +635,11 @@ def _verify(threshold: float, forest: bool):
 
 def _sets(n: int):
     """Texts with the place of their set -> the set, once for every unit it takes part in."""
+    columns = ["label", "low", "high", "block", "sid", "size", "tokens"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            texts, out = rows["text"].tolist(), []
+            texts, out, held = rows["text"].tolist(), [], 0
             for a, b in chunks(texts, 4_000_000):
                 tokens, size = token_sets(texts[a:b], n)
                 ids = set_ids(tokens, size).view(np.int64)
@@ -560,13 +648,29 @@ def _sets(n: int):
                 for i in np.flatnonzero(same):
                     own, many, block = rows["label"].iat[a + i], rows["blocks"].iat[a + i], rows["block"].iat[a + i]
                     blob = tokens[ends[i] - size[i] : ends[i]].tobytes()
-                    out += [(own, min(block, k), max(block, k), block, ids[i], size[i], blob) for k in range(many)]
+                    for k in range(many):
+                        out.append((own, min(block, k), max(block, k), block, ids[i], size[i], blob))
+                        held += len(blob)
+                        if held > _PIECE:
+                            yield pd.DataFrame(out, columns=columns)
+                            out, held = [], 0
             if out:
-                yield pd.DataFrame(out, columns=["label", "low", "high", "block", "sid", "size", "tokens"])
+                yield pd.DataFrame(out, columns=columns)
 
     return run
 
 
+def _near(met: DataFrame, prefixes: DataFrame, threshold: float) -> DataFrame:
+    """Edges (a, b) of met(a, b, hot): the hot ones, and of the others those that parities don't rule out."""
+    every = prefixes.where("cell < 0").select("sid", "size", "shared", "sketch").mapInPandas(_sketched, "sid long, size int, shared int, sketch binary")
+    every = materialise(every.groupBy("sid").agg(*(F.first(c).alias(c) for c in ("size", "shared", "sketch"))), "sketches")
+    pairs = met.where("not hot").select("a", "b")
+    for x in "ab":
+        pairs = pairs.join(every.select(F.col("sid").alias(f"sid_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "shared", "sketch"))), F.col(x) == F.col(f"sid_{x}")).drop(f"sid_{x}")
+    near = pairs.mapInPandas(_close(threshold), "a long, b long")
+    return materialise(near.unionByName(met.where("hot").select("a", "b")), "near")
+
+
 def _placed(lean: DataFrame, n: int, threshold: float, cell_chars: int, bin_tokens: int) -> tuple[DataFrame, DataFrame]:
     """(members(doc_id, sid), texts(sid, _doc, size, bin, blocks, block, text)): the sets that may have a partner, and a text of each, in bins that no pair leaves."""
     spark = lean.sparkSession
@@ -575,9 +679,10 @@ def _placed(lean: DataFrame, n: int, threshold: float, cell_chars: int, bin_toke
     own = "sid binary, size binary, ids binary"
     blobs = lean.mapInPandas(_cells(n, cells), f"cell int, chunk long, sets int, many binary, tokens binary, {own}")
     weighed = blobs.groupBy("cell").applyInPandas(_weigh, f"cell int, chunk long, sets int, many binary, tokens binary, weights binary, {own}")
-    prefixes = materialise(weighed.groupBy("chunk").applyInPandas(_prefixes(threshold, cells), "cell int, sid binary, tokens binary, size binary, ids binary"), "prefixes")
+    prefixes = materialise(weighed.groupBy("chunk").applyInPandas(_prefixes(threshold, cells), "cell int, sid binary, tokens binary, size binary, ids binary, shared binary, sketch binary"), "prefixes")
     members = materialise(prefixes.where("cell < 0").select("sid", "size", "ids").mapInPandas(_members, "doc_id long, sid long, size int").distinct(), "members")
-    labels = components(prefixes.where("cell >= 0").select("cell", "sid", "tokens").groupBy("cell").applyInPandas(_meet, "a long, b long"))
+    met = prefixes.where("cell >= 0").select("cell", "sid", "tokens").groupBy("cell").applyInPandas(_meet, "a long, b long, hot boolean")
+    labels = components(_near(materialise(met.groupBy("a", "b").agg(F.max("hot").alias("hot")), "met"), prefixes, threshold))
     first = members.groupBy("sid").agg(F.min("doc_id").alias("_doc"), F.max("size").alias("size")).join(labels, F.col("sid") == F.col("node")).drop("node")
     first = materialise(first, "first")
     bins = max(1, -(-first.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // bin_tokens))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lodestone.llm import jaccard as J
@@ -134,3 +135,56 @@ def test_component_beyond_a_bin_loses_no_pair(spark):
     base = [f"w{r.randrange(500)}" for _ in range(80)]
     rows = [(i, " ".join(w if r.random() > 0.08 else f"w{r.randrange(500)}" for w in base)) for i in range(60)]
     assert found(spark, rows, group_tokens=8, cell_chars=1_000, bin_tokens=300) == brute(rows, 0.55)
+
+
+def test_blocks_of_a_large_component_go_in_pieces():
+    r = random.Random(1)
+    text = [" ".join(f"w{r.randrange(10**6)}" for _ in range(2_000)) for _ in range(10)]
+    sid = J.set_ids(*J.token_sets(text, 3)).view(np.int64)
+    rows = pd.DataFrame({"sid": sid, "bin": 5, "blocks": 1_000, "block": 7, "text": text})
+    held, pairs = [], 0
+    for piece in J._spread(3, 0.55, 64)(iter([rows])):
+        held.append(sum(piece[c].str.len().sum() for c in ("sid", "size", "part", "tokens")))
+        pairs += piece.groupby("key")[["low", "high"]].value_counts().shape[0]
+    assert sum(held) > 5 * J._PIECE and max(held) < 1.1 * J._PIECE
+    assert pairs == sum(1_000 * J.groups_of(at, 64) for at in (10, 11))
+
+
+def test_chance_n_grams_connect_no_bins(spark):
+    rows = []
+    for k in range(60):  # groups of 3 near copies; each shares a passage with the group before and the one behind
+        words = [f"g{k}w{i}" for i in range(60)]
+        for copy in range(3):
+            own = [w if i not in (20 + copy, 40 + copy) else f"g{k}c{copy}w{i}" for i, w in enumerate(words)]
+            links = [f"link{k + (copy == 1)}x{i}" for i in range(6)] if copy < 2 else []
+            rows.append((len(rows), " ".join(own + links)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = J._placed(df, 3, 0.55, 20_000, 1_000)[1].toPandas()
+    assert placed["size"].sum() > 8_000 and placed["blocks"].max() == 1
+    assert found(spark, rows, cell_chars=20_000, bin_tokens=1_000) == brute(rows, 0.55) and len(brute(rows, 0.55)) == 180
+
+
+def test_what_a_cell_holds_is_its_own(spark):
+    df = spark.createDataFrame(texts(8, 200), "doc_id long, text string").repartition(30)
+    blobs = df.mapInPandas(J._cells(3, 12), "cell int, chunk long, sets int, many binary, tokens binary, sid binary, size binary, ids binary").toPandas()
+    assert len(blobs) == 30 * 13 and blobs.loc[blobs["cell"] >= 0, ["sid", "size", "ids"]].isna().all(axis=None)
+    own = blobs[blobs["cell"] < 0]
+    assert own["chunk"].nunique() == 30 and own["cell"].nunique() > 6 and own["ids"].str.len().sum() == 8 * df.count()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_parities_rule_out_no_near_pair(seed):
+    r = np.random.default_rng(seed)
+    sets = [np.unique(r.integers(0, 400, r.integers(1, 300))) for _ in range(60)]
+    shared = np.array([len(s) for s in sets])
+    low = np.concatenate(sets).astype(np.uint32)
+    blob = J.sketches(np.repeat(np.arange(60), shared), np.zeros(len(low), np.int64), low, shared)
+    ends = np.cumsum(J._widths(shared))
+    parts = [blob[e - w : e] for e, w in zip(ends, J._widths(shared))]
+    i, j = np.triu_indices(60, 1)
+    rows = pd.DataFrame({"a": i, "b": j})
+    for x, at in (("a", i), ("b", j)):
+        rows = rows.assign(**{f"size_{x}": shared[at], f"shared_{x}": shared[at], f"sketch_{x}": [parts[k] for k in at]})
+    kept = {(a, b) for a, b in next(J._close(0.3)(iter([rows]))).to_numpy().tolist()}
+    near = {(a, b) for a, b in zip(i.tolist(), j.tolist()) if len(np.intersect1d(sets[a], sets[b])) >= 0.3 * len(np.union1d(sets[a], sets[b]))}
+    assert near <= kept and near and len(kept) < len(i)
