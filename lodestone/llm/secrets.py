@@ -124,10 +124,16 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 
 
 def _scanned(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], reported: DataFrame | None, places: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(index(doc_id, source, blob), findings by blob, additions to the ledger) of scan()."""
+    """(index(doc_id, source, blob), findings by blob, additions to the ledger) of scan().
+
+    With `places` the index is read once alone, and so it isn't written: of the
+    documents a ledger of blobs is all that scan_places() writes.
+    """
     paths = versions.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.col("text").alias("content"))
     paths = paths.withColumn("blob", blob_id(F.col("content")))
-    index = materialise(paths.select("doc_id", "source", "blob"), "blob-index")
+    index = paths.select("doc_id", "source", "blob")
+    if not places:
+        index = materialise(index, "blob-index")
     first = index.groupBy("blob").agg(F.min(F.struct("doc_id", "source")).alias("_at"))
     todo = materialise(unseen(first, ledger, rules).select("blob", F.col("_at.doc_id").alias("_doc"), F.col("_at.source").alias("_source"), "todo"), "unseen")
     # one row of each unseen blob meets its text; the texts are hashed to partitions once, unsorted

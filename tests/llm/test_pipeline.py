@@ -53,6 +53,14 @@ def test_redaction_goes_through_the_ledger(spark, sf, monkeypatch):
     assert sorted(map(str, out.collect())) == sorted(map(str, secrets.redact(docs).collect()))
 
 
+def test_secrets_stage_writes_its_documents_once(spark, sf, monkeypatch):
+    docs, written = spark.read.parquet(f"{sf}/documents.parquet").repartition(8), []
+    monkeypatch.setattr(secrets, "materialise", lambda df, name: (written.append(name), materialise(df, name))[1])
+    out = dict(corpus_pipeline.STAGES)["secrets"](spark, docs, sf)
+    assert written == ["unseen", "findings"] * 2  # no table of each run's paths, which nothing reads twice
+    assert sorted(map(str, out.collect())) == sorted(map(str, secrets.redact(docs).collect()))
+
+
 def test_near_copies_do_not_depend_on_the_bins(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near copies"](spark, docs, sf).select("doc_id").collect()}
