@@ -6,16 +6,17 @@ That pair is merged, at most three leaves change, and each change climbs the
 tree in logarithmic time, until the root says that no pair can be merged.
 
 All words of a batch that have no encoding yet are merged side by side, one
-tree each, as rows of numpy arrays. The vocabulary is a public rank file whose
-path is a parameter; nothing is trained here.
+tree each, as rows of numpy arrays. Encodings are kept as packed 32-bit tokens,
+so that those of a text are one join of bytes. The vocabulary is a public rank
+file whose path is a parameter; nothing is trained here.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,22 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 """How byte-level BPE vocabularies of this family cut text into words; the cuts join up to the whole text."""
 
 NONE = np.int64(1) << np.int64(40)
-CACHE_WORDS = 100_000
-"""Words whose encoding a worker remembers; beyond that it forgets and goes on."""
+CACHE_WORDS = 200_000
+"""Words that a worker keeps in each of two generations; when the later is full, words that only the earlier holds are forgotten."""
+
+
+def _narrow_pattern() -> re.Pattern:
+    """PATTERN for texts without characters beyond U+00FF: its classes are spelt out, which `re` reads faster than `regex` does."""
+
+    def members(kind: str) -> str:
+        return "".join(f"\\x{c:02x}" for c in range(256) if regex.fullmatch(kind, chr(c)))
+
+    letter, number, space = members(r"\p{L}"), members(r"\p{N}"), members(r"\s")
+    return re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
+_NARROW = _narrow_pattern()
+_BEYOND = re.compile("[^\x00-\xff]")
 
 
 class Vocabulary:
@@ -39,6 +54,7 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
+        self.narrow = _NARROW if pattern == PATTERN else self.pattern
         self.size = max(ranks.values()) + 1
         self.pieces: list[bytes] = [b""] * self.size
         for piece, rank in ranks.items():
@@ -50,9 +66,10 @@ class Vocabulary:
                 left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
                 if left is not None and right is not None:
                     pairs[left * self.size + right] = rank
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self._hash_pairs(np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64))
+        self.whole = {piece: np.int32(rank).tobytes() for piece, rank in ranks.items()}
+        self.late: dict[str, bytes] = {}
+        self.early: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str, pattern: str = PATTERN) -> Vocabulary:
@@ -60,31 +77,59 @@ class Vocabulary:
         with open(path, "rb") as lines:
             return cls({base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}, pattern)
 
+    def _hash_pairs(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """A table of pairs by hash, linear probing, a quarter full at most; a free slot holds -1 and NONE."""
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        slots = 1 << (64 - int(self.shift))
+        self.keys, self.values = np.full(slots, -1, np.int64), np.full(slots, NONE)
+        at = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] == -1)
+            _, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.keys[at[put]], self.values[at[put]] = keys[put], values[put]
+            left = np.ones(len(keys), bool)
+            left[put] = False
+            keys, values, at = keys[left], values[left], (at[left] + 1) % slots
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair of tokens, NONE where there is none; negative tokens are no token."""
-        if not len(self.keys):
-            return np.full(len(left), NONE)
-        key = left * self.size + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.values[at], NONE)
+        key = np.where(right >= 0, left * self.size + right, -1)  # with a negative left one it is no pair's either
+        at = self._slot(key)
+        there = self.keys[at]
+        out = self.values[at]
+        on = np.flatnonzero((there != key) & (there != -1))
+        while len(on):
+            at[on] = (at[on] + 1) % len(self.keys)
+            there = self.keys[at[on]]
+            out[on] = self.values[at[on]]
+            on = on[(there != key[on]) & (there != -1)]
+        return out
 
     def merge_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """Tokens of each word, words of similar length side by side."""
-        out: list = [()] * len(words)
-        by_width: dict[int, list[int]] = {}
-        for k, w in enumerate(words):
-            if w in self.ranks:
-                out[k] = (self.ranks[w],)
-            elif w:
-                by_width.setdefault(max(1, (len(w) - 2).bit_length()), []).append(k)
-        for bits, members in by_width.items():
-            step = max(1, 2_000_000 >> bits)
+        """Tokens of each word."""
+        return [tuple(np.frombuffer(x, np.int32).tolist()) for x in self._packed_words(words)]
+
+    def _packed_words(self, words: list[bytes]) -> list[bytes]:
+        """Packed tokens of each word, words of similar length side by side."""
+        out = list(map(self.whole.get, words))
+        rest = [k for k, x in enumerate(out) if x is None]
+        lengths = np.fromiter((len(words[k]) for k in rest), np.int64, len(rest))
+        bits = np.maximum(1, np.frexp(np.maximum(lengths - 2, 0))[1])  # the bit length
+        bits[lengths == 0] = 0
+        for b in np.unique(bits).tolist():
+            members = [rest[i] for i in np.flatnonzero(bits == b).tolist()]
+            step = max(1, 2_000_000 >> b)
             for a in range(0, len(members), step):
-                for k, tokens in zip(members[a : a + step], self._merge([words[k] for k in members[a : a + step]], bits)):
-                    out[k] = tokens
+                some = members[a : a + step]
+                for k, packed in zip(some, self._merge([words[k] for k in some], b) if b else [b""] * len(some)):
+                    out[k] = packed
         return out
 
-    def _merge(self, words: list[bytes], bits: int) -> list[tuple[int, ...]]:
+    def _merge(self, words: list[bytes], bits: int) -> list[bytes]:
         """Words of 2 to 2**bits + 1 bytes: at most 2**bits pairs each."""
         n, leaves = len(words), 1 << bits
         width = leaves + 1
@@ -133,25 +178,30 @@ class Vocabulary:
             rows, prior = alive[some], prior[some]
             point(rows, prior, self.pair_ranks(token[rows, prior], token[rows, at[some]]) * leaves + prior)
         left = token >= 0
-        flat, ends = token[left].tolist(), np.cumsum(left.sum(axis=1)).tolist()
-        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends)]
+        flat, ends = token[left].astype(np.int32).tobytes(), (4 * np.cumsum(left.sum(axis=1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text; they join up to it."""
+        return (self.pattern if _BEYOND.search(text) else self.narrow).findall(text)
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """Tokens of each text; an empty text has none."""
-        words = [self.pattern.findall(t) for t in texts]
-        missing = list({w for x in words for w in x if w not in self.cache})
-        fresh = dict(zip(missing, self.merge_words([w.encode("utf-8") for w in missing])))
-        if len(self.cache) + len(fresh) > CACHE_WORDS:
-            known = {w: self.cache[w] for x in words for w in x if w in self.cache}
-            self.cache = dict(list(known.items())[:CACHE_WORDS])
-            look = known | fresh
-        else:
-            self.cache.update(fresh)
-            look = self.cache
-        out = [list(chain.from_iterable(map(look.__getitem__, x))) for x in words]
-        if look is not self.cache:
-            for w in missing[: CACHE_WORDS - len(self.cache)]:
-                self.cache[w] = fresh[w]
+        return [x.tolist() for x in self.encode_arrays(texts)]
+
+    def encode_arrays(self, texts: list[str]) -> list[np.ndarray]:
+        """encode_batch() with 32-bit arrays."""
+        words = [self.words(t) for t in texts]
+        unknown = set().union(*words).difference(self.late)
+        missing = unknown.difference(self.early)
+        self.late.update((w, self.early[w]) for w in unknown - missing)
+        fresh = list(missing)
+        self.late.update(zip(fresh, self._packed_words([w.encode("utf-8") for w in fresh])))
+        look = self.late.__getitem__
+        out = [np.frombuffer(b"".join(map(look, x)), np.int32) for x in words]
+        if len(self.late) > CACHE_WORDS:
+            self.early = self.late if len(self.late) <= 2 * CACHE_WORDS else {}  # a batch of very many words isn't kept
+            self.late = {}
         return out
 
     def decode(self, tokens) -> str:
@@ -176,14 +226,14 @@ def _encoder(path: str, digest: bool):
             texts = rows["text"].tolist()
             for a, b in chunks(texts, 500_000):
                 known = [isinstance(t, str) for t in texts[a:b]]
-                lists = v.encode_batch([t if k else "" for t, k in zip(texts[a:b], known)])
+                lists = v.encode_arrays([t if k else "" for t, k in zip(texts[a:b], known)])
                 out = {
                     "doc_id": rows["doc_id"].iloc[a:b].astype("Int64"),
-                    "tokens": [np.array(t, np.int32) if k else None for t, k in zip(lists, known)],
+                    "tokens": [t if k else None for t, k in zip(lists, known)],
                     "n_tokens": pd.array([len(t) if k else None for t, k in zip(lists, known)], "Int32"),
                 }
                 if digest:
-                    out["text_sha256"] = [hashlib.sha256(v.decode(t).encode("utf-8")).hexdigest() if k else None for t, k in zip(lists, known)]
+                    out["text_sha256"] = [hashlib.sha256(v.decode(t.tolist()).encode("utf-8")).hexdigest() if k else None for t, k in zip(lists, known)]
                 yield pd.DataFrame(out)
 
     return run

@@ -1,6 +1,7 @@
 import base64
 import random
 
+import numpy as np
 import pytest
 
 from lodestone.llm import bpe
@@ -28,6 +29,32 @@ def test_merges_against_brute_force():
     assert v.merge_words(words) == [brute(v, w) for w in words]
 
 
+def test_words_that_come_again_are_merged_once(monkeypatch):
+    v, merged = bpe.Vocabulary(bpe.vocabulary(PATH).ranks), []
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 40)
+    merge = v._merge
+    monkeypatch.setattr(v, "_merge", lambda words, bits: (merged.extend(words), merge(words, bits))[1])
+    for k in range(30):
+        texts = [" ".join("zqx" + "".join(map(chr, (97 + k, 97 + j, 120))) for j in range(9)), "zqxjkvw" if k % 2 else ""]
+        assert v.encode_batch(texts) == [[t for w in v.pattern.findall(x) for t in brute(v, w.encode())] for x in texts]
+    assert merged.count(b"zqxjkvw") == 1
+    assert len(v.late) <= 40 + 10 and len(v.early) <= 40 + 10
+
+
+def test_cuts_and_pairs_against_brute_force():
+    v, r = bpe.vocabulary(PATH), random.Random(5)
+    texts = [chr(a) + chr(b) + end for a in range(256) for b in range(256) for end in ("", "s", " ")]
+    texts += ["".join(r.choice("ab' \t\r\n\x1c\x85\xa0sd\xe9\xb2\xaa7_-\u2019\u4e00") for _ in range(30)) for _ in range(2_000)]
+    assert all(v.words(t) == v.pattern.findall(t) for t in texts)
+    ids = [-1, *range(300), *(r.randrange(v.size) for _ in range(700))]
+    left, right = np.repeat(ids, len(ids)), np.tile(ids, len(ids))
+    known = {v.ranks[p[:c]] * v.size + v.ranks[p[c:]]: k for p, k in v.ranks.items() for c in range(1, len(p)) if p[:c] in v.ranks and p[c:] in v.ranks}
+    expected = [known.get(a * v.size + b, int(bpe.NONE)) if min(a, b) >= 0 else int(bpe.NONE) for a, b in zip(left.tolist(), right.tolist())]
+    assert v.pair_ranks(left, right).tolist() == expected and min(expected) < bpe.NONE
+    pairs = np.array(list(known), np.int64)
+    assert v.pair_ranks(pairs // v.size, pairs % v.size).tolist() == list(known.values())
+
+
 def test_same_tokens_as_a_public_library(spark, sf):
     tiktoken = pytest.importorskip("tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
