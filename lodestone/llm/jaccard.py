@@ -65,6 +65,12 @@ _PAIRED, _PAIRS = 64, 4_000_000
 _PIECE = 16_000_000
 """Bytes of blobs that a mapper hands on at once."""
 
+_CHARS = 250_000
+"""Characters that are hashed at once; what is held beside them is some 80 bytes for each."""
+
+_EDGES = 1_000_000
+"""Edges whose components one task finds, with some 100 bytes for each; more go through rounds of tables."""
+
 _KEYS = 1 << 24
 """Group numbers of one size range; a range has RATIO**level // group_tokens groups, far fewer for any text."""
 
@@ -81,6 +87,11 @@ def allowed(sizes: np.ndarray, threshold: float) -> np.ndarray:
 
 def token_sets(texts: list, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct n-gram hashes of all texts, ascending within each; how many each has)."""
+    pieces = [_token_sets(texts[a:b], n) for a, b in chunks(texts, _CHARS)] or [_token_sets([], n)]
+    return np.concatenate([t for t, _ in pieces]), np.concatenate([many for _, many in pieces])
+
+
+def _token_sets(texts: list, n: int) -> tuple[np.ndarray, np.ndarray]:
     h, many = shingles(*word_hashes(texts), n)
     row = np.repeat(np.arange(len(texts)), many)
     order = np.lexsort((h, row))
@@ -660,6 +671,26 @@ def _sets(n: int):
     return run
 
 
+def _labelled(rows: pd.DataFrame) -> pd.DataFrame:
+    """Edges -> (node, label) as of components()."""
+    node, ends = np.unique(np.concatenate([rows.pop("a").to_numpy(), rows.pop("b").to_numpy()]), return_inverse=True)
+    forest, many = _Forest(len(node)), len(ends) // 2
+    forest.join(ends[:many], ends[many:])
+    return pd.DataFrame({"node": node, "label": node[forest.root]})
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    """components(edges) of a written table; of few edges without a table for each round."""
+    if edges.limit(_EDGES + 1).count() > _EDGES:
+        return components(edges)
+    return materialise(edges.where("a <> b").groupBy().applyInPandas(_labelled, "node long, label long"), "labels")
+
+
+def _written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df as a table of files that are worth their making, instead of one from each task: where nothing but programs can set a file's mode, each file takes three of them."""
+    return materialise(df.hint("rebalance", *by), name)
+
+
 def _near(met: DataFrame, prefixes: DataFrame, threshold: float) -> DataFrame:
     """Edges (a, b) of met(a, b, hot): the hot ones, and of the others those that parities don't rule out."""
     every = prefixes.where("cell < 0").select("sid", "size", "shared", "sketch").mapInPandas(_sketched, "sid long, size int, shared int, sketch binary")
@@ -668,7 +699,7 @@ def _near(met: DataFrame, prefixes: DataFrame, threshold: float) -> DataFrame:
     for x in "ab":
         pairs = pairs.join(every.select(F.col("sid").alias(f"sid_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "shared", "sketch"))), F.col(x) == F.col(f"sid_{x}")).drop(f"sid_{x}")
     near = pairs.mapInPandas(_close(threshold), "a long, b long")
-    return materialise(near.unionByName(met.where("hot").select("a", "b")), "near")
+    return _written(near.unionByName(met.where("hot").select("a", "b")), "near")
 
 
 def _placed(lean: DataFrame, n: int, threshold: float, cell_chars: int, bin_tokens: int) -> tuple[DataFrame, DataFrame]:
@@ -679,10 +710,10 @@ def _placed(lean: DataFrame, n: int, threshold: float, cell_chars: int, bin_toke
     own = "sid binary, size binary, ids binary"
     blobs = lean.mapInPandas(_cells(n, cells), f"cell int, chunk long, sets int, many binary, tokens binary, {own}")
     weighed = blobs.groupBy("cell").applyInPandas(_weigh, f"cell int, chunk long, sets int, many binary, tokens binary, weights binary, {own}")
-    prefixes = materialise(weighed.groupBy("chunk").applyInPandas(_prefixes(threshold, cells), "cell int, sid binary, tokens binary, size binary, ids binary, shared binary, sketch binary"), "prefixes")
+    prefixes = _written(weighed.groupBy("chunk").applyInPandas(_prefixes(threshold, cells), "cell int, sid binary, tokens binary, size binary, ids binary, shared binary, sketch binary"), "prefixes", "cell")
     members = materialise(prefixes.where("cell < 0").select("sid", "size", "ids").mapInPandas(_members, "doc_id long, sid long, size int").distinct(), "members")
     met = prefixes.where("cell >= 0").select("cell", "sid", "tokens").groupBy("cell").applyInPandas(_meet, "a long, b long, hot boolean")
-    labels = components(_near(materialise(met.groupBy("a", "b").agg(F.max("hot").alias("hot")), "met"), prefixes, threshold))
+    labels = _labels(_near(materialise(met.groupBy("a", "b").agg(F.max("hot").alias("hot")), "met"), prefixes, threshold))
     first = members.groupBy("sid").agg(F.min("doc_id").alias("_doc"), F.max("size").alias("size")).join(labels, F.col("sid") == F.col("node")).drop("node")
     first = materialise(first, "first")
     bins = max(1, -(-first.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // bin_tokens))
@@ -708,7 +739,7 @@ def _matched(docs: DataFrame, n: int, threshold: float, group_tokens: int, unit_
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null and text is not null")
     members, texts = _placed(lean, n, threshold, cell_chars, bin_tokens)
     found = _parts(texts, n, threshold, group_tokens).groupBy("bin", "low", "high", "key").applyInPandas(_match(threshold, group_tokens), "a long, b long")
-    labels = components(found)
+    labels = _labels(_written(found, "found"))
     first = texts.select("sid", "size").distinct().join(labels, F.col("sid") == F.col("node"))
     # a component of many elements or sets is verified in pairs of blocks, each a bounded piece of work
     blocks = first.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / unit_tokens), F.ceil(F.count("*") / unit_sets)).cast("int").alias("blocks"))
@@ -739,7 +770,7 @@ def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.55, group_to
     empty table gives an empty result. Other columns are not read.
     """
     members, verified = _matched(docs, n, threshold, group_tokens, unit_tokens, unit_sets, False, **bounds)
-    members, verified = materialise(members, "members"), materialise(verified, "pairs")
+    verified = _written(verified, "pairs")
     classes = members.groupBy("sid").agg(F.min("doc_id").alias("rep"))
     left, right = (classes.select(F.col("rep").alias(f"d{x}"), F.col("sid").alias(f"s{x}")) for x in "ab")
     near = verified.join(left, F.col("a") == F.col("sa")).join(right, F.col("b") == F.col("sb")).select("da", "db", "jaccard")
@@ -757,7 +788,7 @@ def near_copies(docs: DataFrame, n: int = 3, threshold: float = 0.55, group_toke
     an empty table and other columns are treated as there.
     """
     members, verified = _matched(docs, n, threshold, group_tokens, unit_tokens, unit_sets, True, **bounds)
-    labels = components(verified.select("a", "b"))
+    labels = _labels(_written(verified.select("a", "b"), "links"))
     grouped = members.join(labels, F.col("sid") == F.col("node"), "left").select("doc_id", F.coalesce("label", "sid").alias("label"))
     keeper = grouped.groupBy("label").agg(F.min("doc_id").alias("keeper"))
     return grouped.join(keeper, "label").where("doc_id <> keeper").groupBy("doc_id").agg(F.min("keeper").alias("keeper"))
@@ -777,8 +808,8 @@ def near_classes(docs: DataFrame, n: int = 3, threshold: float = 0.55, group_tok
     gives an empty result. Other columns are not read.
     """
     members, verified = _matched(docs, n, threshold, group_tokens, unit_tokens, unit_sets, False, **bounds)
-    members, verified = materialise(members, "members"), materialise(verified.select("a", "b"), "links")
-    labels = components(verified)
+    verified = _written(verified.select("a", "b"), "links")
+    labels = _labels(verified)
     links = verified.select(F.explode(F.array("a", "b")).alias("linked")).groupBy("linked").agg(F.count("*").alias("links"))
     grouped = members.join(labels, F.col("sid") == F.col("node"), "left").join(links, F.col("sid") == F.col("linked"), "left")
     grouped = grouped.select("doc_id", F.coalesce("label", "sid").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -1,11 +1,14 @@
 import random
 import re
+import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pytest
 
 from lodestone.llm import jaccard as J
+from lodestone.runtime import shared_folder
 
 SCHEMA = "doc_id long, text string, sid string, label string, jaccard double"
 
@@ -172,6 +175,46 @@ def test_what_a_cell_holds_is_its_own(spark):
     assert own["chunk"].nunique() == 30 and own["cell"].nunique() > 6 and own["ids"].str.len().sum() == 8 * df.count()
 
 
+def test_a_chunk_is_hashed_in_pieces():
+    r = random.Random(9)
+    text = [" ".join(f"w{r.randrange(10**5)}" for _ in range(r.choice([0, 1, 2, 40, 1_500]))) for _ in range(2_000)]
+    text[7:7] = [None, "", "..."]
+    text[900] = " ".join(f"w{r.randrange(10**5)}" for _ in range(60_000))  # longer than a piece
+    assert sum(len(t or "") for t in text) > 4_000_000
+    alone = [J.token_sets([t], 3) for t in text]
+    tracemalloc.start()
+    tokens, many = J.token_sets(text, 3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100_000_000
+    assert (tokens == np.concatenate([t for t, _ in alone])).all() and (many == np.concatenate([m for _, m in alone])).all()
+    assert [x.shape for x in J.token_sets([], 3)] == [(0,), (0,)]
+
+
+def test_few_files_are_written(spark):
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(folder.rglob("*.parquet"))
+    df = spark.createDataFrame([(i, " ".join(f"c{i // 5}w{k}" for k in range(100 + i % 5))) for i in range(300)], "doc_id long, text string").repartition(20)
+    assert {r.links for r in J.near_classes(df).collect()} == {4}
+    wrote = [p.parent.name.split("-")[1] for p in set(folder.rglob("*.parquet")) - before if p.is_file()]
+    assert len(wrote) < 16, sorted(wrote)  # each starts processes where modes can't be set otherwise
+
+
+def test_components_of_few_and_of_many_edges(spark, monkeypatch):
+    r = random.Random(4)
+    edges = [(a, a + r.randint(0, 3)) for a in r.sample(range(-300, 300), 250)] + [(-(2**62), 2**62), (7, 7)]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in range(len(root)):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(edges, "a long, b long").repartition(8)
+    for most in (1_000_000, 10):
+        monkeypatch.setattr(J, "_EDGES", most)
+        assert {x.node: x.label for x in J._labels(df).collect()} == root
+    assert J._labels(df.limit(0)).count() == 0 == J._labels(df.where("a = b")).count()
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_parities_rule_out_no_near_pair(seed):
     r = np.random.default_rng(seed)
