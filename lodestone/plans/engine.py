@@ -36,8 +36,17 @@ def context_of(results: list) -> str:
 
 
 def context_column(hits: DataFrame) -> DataFrame:
-    """(query_id, context) of hits(query_id, rank, score, content): context_of() inside the JVM."""
-    piece = F.format_string("[Chunk | Relevance: %.3f]\n%s", "score", "content")
+    """(query_id, context) of hits(query_id, rank, score, content): context_of() of each query's hits.
+
+    Scores are written by Python, which rounds the binary value as C and SQL do;
+    the JVM's formats round its shortest decimal form, half up.
+    """
+
+    @F.pandas_udf("string")
+    def written(scores: pd.Series) -> pd.Series:
+        return pd.Series([f"{x:.3f}" for x in scores])
+
+    piece = F.format_string("[Chunk | Relevance: %s]\n%s", written("score"), "content")
     return hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", piece.alias("p")))), lambda x: x["p"]), "\n\n---\n\n").alias("context"))
 
 
