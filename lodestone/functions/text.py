@@ -1,7 +1,10 @@
-"""Text as Column expressions; everything stays inside the JVM."""
+"""Text as Column expressions; everything but the counting of terms stays inside the JVM."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,20 +32,22 @@ def index_tokens(text: Column) -> Column:
     return F.filter(plain_tokens(text), lambda t: (F.char_length(t) >= 2) & ~t.isin(*sorted(STOPWORDS)))
 
 
-def term_counts(tokens: Column) -> Column:
-    """array<struct<term, tf>> of a token array in order of term, counted within the row."""
-
-    def once(value: Column, body) -> Column:
-        return F.transform(F.array(value), body)[0]  # a name for a value, which is then computed once
+def _term_counts(lists: pa.Array) -> pa.Array:
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    order = pc.sort_indices(words).to_numpy()
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    many = max(1, len(words))
+    found, tf = np.unique(np.repeat(np.arange(len(size)), size) * many + place[codes], return_counts=True)
+    rows = pa.StructArray.from_arrays([words.take(pa.array(order[found % many])), pa.array(tf.astype(np.int64))], ["term", "tf"])
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.bincount(found // many, minlength=len(size)))]).astype(np.int32), rows)
 
-    def starts(a: Column) -> Column:
-        positions = F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.filter(positions, lambda i: (i == 0) | (F.get(a, i) != F.get(a, i - 1)))
 
-    def count(a: Column, at: Column) -> Column:
-        return F.transform(at, lambda s, k: F.struct(F.get(a, s).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(a)) - s).cast("long").alias("tf")))
-
-    return once(F.array_sort(tokens), lambda a: once(starts(a), lambda at: count(a, at)))
+def term_counts(tokens: Column) -> Column:
+    """array<struct<term, tf>> of a token array in order of term, counted within the row, in Arrow: no token becomes a Python object."""
+    return F.arrow_udf(_term_counts, "array<struct<term:string,tf:bigint>>")(tokens)
 
 
 def keyword_tokens(text: Column) -> Column:

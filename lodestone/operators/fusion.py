@@ -40,7 +40,7 @@ def rank_fused(fused: DataFrame, limit: int, config: HybridConfig = HybridConfig
 
 
 def hybrid_search(
-    index: bm25.BM25Index,
+    index: bm25.BM25Index | None,
     vectors: DataFrame | None,
     queries: DataFrame,
     limit: int,
@@ -52,7 +52,7 @@ def hybrid_search(
 ) -> DataFrame:
     """Search queries(query_id, query, embedding) in both ways and fuse; cosines must be positive and reach the threshold."""
     empty = queries.select("query_id", F.lit("").alias("id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    keyword = bm25.search(index, queries, config.max_candidates, scoring) if include_keyword else empty
+    keyword = bm25.search(index, queries, config.max_candidates, scoring) if include_keyword and index is not None else empty
     semantic = empty
     if include_semantic and vectors is not None:
         asked = queries.where(F.col("embedding").isNotNull())

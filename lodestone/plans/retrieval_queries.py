@@ -183,7 +183,7 @@ def hybrid_sql(kind: Fusion, keyword: bool = True, semantic: bool = True, limit:
 def hybrid(spark: SparkSession, sf_dir: str, kind: Fusion = Fusion.RRF, keyword: bool = True, semantic: bool = True) -> DataFrame:
     docs, asked = contents(spark, sf_dir), questions(spark, sf_dir)
     stored = vector_search.embed_texts(docs, 128, kind="double").select("id", "embedding")
-    found = fusion.hybrid_search(bm25.build(docs), stored, vector_search.embed_texts(asked, 128, "query", kind="double"), 10, HybridConfig(fusion=kind), 0.0, keyword, semantic)
+    found = fusion.hybrid_search(bm25.build(docs) if keyword else None, stored, vector_search.embed_texts(asked, 128, "query", kind="double"), 10, HybridConfig(fusion=kind), 0.0, keyword, semantic)
     return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"), F.round("semantic_score", 5).alias("semantic_score"), F.round("keyword_score", 6).alias("keyword_score"))
 
 
