@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +13,8 @@ from lodestone.config import ChunkConfig
 from lodestone.functions.text import word_count
 from lodestone.operators.keywords import frequent_terms
 
-SPANS = "array<struct<content:string,start_offset:int,end_offset:int,keywords:array<string>>>"
+CHARACTERS = 1_000_000
+"""Chunks of about so many characters leave a worker at once."""
 
 
 def _after_space(text: str, at: int) -> int:
@@ -57,19 +61,38 @@ def chunk(documents: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFram
     (a struct: document order, then position). A null or empty document has none.
     """
 
-    @F.pandas_udf(SPANS)
-    def split(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"content": c, "start_offset": a, "end_offset": b, "keywords": frequent_terms(c, config.keywords)} for c, a, b in spans(t if isinstance(t, str) else None, config)] for t in texts])
+    most = CHARACTERS
+    place = documents.schema["doc_ord"].dataType.simpleString()
+    key = documents.schema["doc_id"].dataType.simpleString()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for i in range(batch.num_rows + 1):
+                if held and (i == batch.num_rows or size >= most):
+                    at = pa.array([h[0] for h in held])
+                    columns = [pa.array([h[j] for h in held], kind) for j, kind in ((1, pa.int32()), (2, pa.string()), (3, pa.int32()), (4, pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_ord").take(at), batch.column("doc_id").take(at), *columns], names=["doc_ord", "doc_id", "index", "content", "start_offset", "end_offset"])
+                    held, size = [], 0
+                if i < batch.num_rows:
+                    found = spans(batch.column("content")[i].as_py(), config)
+                    held += [(i, k, *span) for k, span in enumerate(found)]
+                    size += sum(len(c) for c, _, _ in found)
+
+    @F.pandas_udf("array<string>")
+    def terms(texts: pd.Series) -> pd.Series:
+        return pd.Series([frequent_terms(t, config.keywords) for t in texts])
 
-    placed = documents.select("doc_ord", "doc_id", F.posexplode(split("content")).alias("index", "span"))
+    # keywords are columns of their own, so that who doesn't ask for them doesn't count them
+    placed = documents.select("doc_ord", "doc_id", F.col("content").cast("string").alias("content")).mapInArrow(split, f"doc_ord {place}, doc_id {key}, index int, content string, start_offset int, end_offset int")
     rows = placed.select(
         F.struct("doc_ord", "index").alias("chunk_ord"),
         F.concat_ws("_", "doc_id", F.col("index").cast("string")).alias("chunk_id"),
         "doc_id",
-        "span.content",
-        "span.start_offset",
-        "span.end_offset",
-        "span.keywords",
+        "content",
+        "start_offset",
+        "end_offset",
+        terms("content").alias("keywords"),
         "index",
     )
     extra = F.create_map().cast("map<string,string>")
