@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from lodestone.config import PageRankConfig
 from lodestone.operators.components import components
-from lodestone.operators.graph_store import Graph
+from lodestone.operators.graph_store import BROADCAST_ROWS, Graph, hashed
 from lodestone.operators.traversal import distances
-from lodestone.runtime import materialise
+from lodestone.runtime import materialise, number_rows
 
 
 def pagerank(graph: Graph, config: PageRankConfig = PageRankConfig(), iterations: int | None = None) -> DataFrame:
     """(entity_id, score): weighted PageRank with dangling mass spread evenly; scores sum to 1.
 
+    Edges are written once, between numbers; names are joined to the scores.
+
     Runs until no score moves by the tolerance, or exactly `iterations` times. A
     round is one join and one aggregate over the edges; the dangling mass comes
     from a one-row aggregate inside the same plan.
@@ -25,23 +27,28 @@ def pagerank(graph: Graph, config: PageRankConfig = PageRankConfig(), iterations
         return graph.entities.select("entity_id", F.lit(0.0).alias("score"))
     if n == 1:
         return graph.entities.select("entity_id", F.lit(1.0).alias("score"))
+    known = materialise(number_rows(graph.entities.select("entity_id"), ["entity_id"], "node"), "numbers")
+    ends = hashed(known.select(F.col("entity_id").alias("source"), F.col("node").alias("s"))), hashed(known.select(F.col("entity_id").alias("target"), F.col("node").alias("t")))
     held = graph.relationships.where("confidence > 0").select("source", "target", F.col("confidence").cast("double").alias("w"))
-    total = held.groupBy("source").agg(F.sum("w").alias("total"))
-    edges = materialise(held.join(total, "source").select("source", "target", (F.col("w") / F.col("total")).alias("share")), "edges")
-    nodes = materialise(graph.entities.select("entity_id").join(total.select(F.col("source").alias("entity_id"), F.lit(False).alias("_out")), "entity_id", "left").select("entity_id", F.col("_out").isNull().alias("dangling")), "nodes")
+    # an edge from or to nothing known keeps its weight in its source's total
+    held = materialise(held.join(ends[0], "source").join(ends[1], "target", "left").select("s", "t", "w"), "weighted")
+    total = held.groupBy("s").agg(F.sum("w").alias("total"))
+    edges = materialise(held.join(hashed(total), "s").where("t is not null").select("s", "t", (F.col("w") / F.col("total")).alias("share")), "edges")
+    nodes = materialise(known.select("node").join(total.select(F.col("s").alias("node"), F.lit(False).alias("_out")), "node", "left").select("node", F.col("_out").isNull().alias("dangling")), "nodes")
     ranks = nodes.withColumn("score", F.lit(1.0 / n))
+    small = F.broadcast if n <= BROADCAST_ROWS else lambda x: x.hint("shuffle_hash")
     for k in range(config.max_iterations if iterations is None else iterations):
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0)).alias("lost"))
-        given = edges.join(ranks, F.col("source") == F.col("entity_id")).groupBy(F.col("target").alias("entity_id")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
+        given = edges.join(small(ranks.select(F.col("node").alias("s"), "score")), "s").groupBy(F.col("t").alias("node")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
         fresh = (1 - damping) / n + damping * F.col("lost") / n + damping * F.coalesce("got", F.lit(0.0))
-        step = ranks.join(given, "entity_id", "left").crossJoin(F.broadcast(lost)).select("entity_id", "dangling", fresh.alias("score"), F.abs(fresh - F.col("score")).alias("moved"))
+        step = ranks.join(given, "node", "left").crossJoin(F.broadcast(lost)).select("node", "dangling", fresh.alias("score"), F.abs(fresh - F.col("score")).alias("moved"))
         if iterations is None or k % 5 == 4:
             step = materialise(step, "ranks")
         ranks = step.drop("moved")
         if iterations is None and step.agg(F.max("moved")).first()[0] < config.tolerance:
             break
     whole = ranks.agg(F.sum("score").alias("whole"))
-    return ranks.crossJoin(F.broadcast(whole)).select("entity_id", (F.col("score") / F.col("whole")).alias("score"))
+    return ranks.join(known, "node").crossJoin(F.broadcast(whole)).select("entity_id", (F.col("score") / F.col("whole")).alias("score"))
 
 
 def top_entities(scores: DataFrame, k: int) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from lodestone.config import CommunityConfig
 from lodestone.operators.adjacency import BLOCK, blocks, lists, pack
 from lodestone.operators.components import components
-from lodestone.operators.graph_store import Graph
+from lodestone.operators.graph_store import Graph, hashed
 from lodestone.runtime import materialise
 
 EPSILON = 1e-12
@@ -24,7 +24,7 @@ EPSILON = 1e-12
 
 def undirected_weights(graph: Graph) -> DataFrame:
     """(a, b, w) with a < b by entity_ord: parallel and reciprocal weights summed; self-loops and weights <= 0 left out."""
-    numbers = graph.entities.select("entity_id", "entity_ord")
+    numbers = hashed(graph.entities.select("entity_id", "entity_ord"))
     held = graph.relationships.where("source <> target and confidence > 0")
     ends = held.join(numbers.select(F.col("entity_id").alias("source"), F.col("entity_ord").alias("s")), "source").join(numbers.select(F.col("entity_id").alias("target"), F.col("entity_ord").alias("t")), "target")
     return ends.groupBy(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).agg(F.sum(F.col("confidence").cast("double")).alias("w"))
@@ -34,7 +34,7 @@ def modularity(weights: DataFrame, assignment: DataFrame, resolution: float = 1.
     """One row (modularity) of assignment(node, community) over weights(a, b, w); 0 without weight."""
     left = assignment.select(F.col("node").alias("a"), F.col("community").alias("ca"))
     right = assignment.select(F.col("node").alias("b"), F.col("community").alias("cb"))
-    placed = weights.join(left, "a").join(right, "b")
+    placed = weights.join(hashed(left), "a").join(hashed(right), "b")
     sides = F.explode(F.array(F.struct(F.col("ca").alias("community"), F.col("cb").alias("other"), "w"), F.struct(F.col("cb").alias("community"), F.col("ca").alias("other"), "w"))).alias("x")
     per = placed.select(sides).select("x.*").groupBy("community").agg(F.sum("w").alias("all"), F.sum(F.when(F.col("community") == F.col("other"), F.col("w")).otherwise(0.0)).alias("inside"))
     whole = per.agg(F.sum("all").alias("m2"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+BROADCAST_ROWS = 100_000
 MENTION = "struct<chunk_id:string,start_offset:int,end_offset:int,confidence:float>"
 
 
@@ -25,6 +26,14 @@ class Graph:
     relationships: DataFrame
     chunks: DataFrame | None = None
     documents: DataFrame | None = None
+    merged: bool = False
+    """Whether relationships has one row per (source, target, relation_type), as merge_relationships() makes them."""
+
+
+def hashed(table: DataFrame) -> DataFrame:
+    """table as the side of a join that is hashed: sent to all if it is small, else shuffled; the other side is not sorted."""
+    few = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(table) if few else table.hint("shuffle_hash")
 
 
 def merge_entities(rows: DataFrame) -> DataFrame:
@@ -48,7 +57,7 @@ def merge_relationships(rows: DataFrame, entities: DataFrame) -> DataFrame:
 
     Highest confidence, distinct context in order of first use, rel_ord the first seq.
     """
-    known = entities.select("entity_id")
+    known = hashed(entities.select("entity_id"))
     held = rows.join(known.withColumnRenamed("entity_id", "source"), "source", "left_semi").join(known.withColumnRenamed("entity_id", "target"), "target", "left_semi")
     context = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "context"))), lambda x: F.coalesce(x["context"], F.array().cast("array<string>")))))
     return held.groupBy("source", "target", "relation_type").agg(F.min("seq").alias("rel_ord"), F.max("confidence").alias("confidence"), context.alias("context"))
@@ -99,12 +108,15 @@ def remove_document_chunks(graph: Graph, doc_ids: DataFrame) -> Graph:
     return replace(graph, entities=entities.where("not _lost").drop("_lost"), relationships=relationships, chunks=chunks)
 
 
-def neighbours(relationships: DataFrame) -> DataFrame:
+def neighbours(relationships: DataFrame, merged: bool = False) -> DataFrame:
     """(node, neighbour, relation_type, position, rel_ord, source, target, confidence): both directions of every edge.
 
     Of parallel edges of one type the most confident stands for all, the earliest
     on ties; positions order a node's neighbours, outgoing edges first, those of equal rel_ord by name and type.
+    merged relationships have at most one edge each way, so that plain numbers tell which stands, without a sort.
     """
+    if merged:
+        return _neighbours_of_merged(relationships)
     columns = ["rel_ord", "source", "target", "relation_type", "confidence"]
     out = relationships.select(F.col("source").alias("node"), F.col("target").alias("neighbour"), F.lit(0).alias("way"), *columns)
     back = relationships.select(F.col("target").alias("node"), F.col("source").alias("neighbour"), F.lit(1).alias("way"), *columns)
@@ -115,6 +127,22 @@ def neighbours(relationships: DataFrame) -> DataFrame:
     return grouped.select("node", "neighbour", "relation_type", position.alias("position"), "edge.rel_ord", "edge.source", "edge.target", "edge.confidence")
 
 
+def _neighbours_of_merged(relationships: DataFrame) -> DataFrame:
+    ends = [F.struct(F.col(a).alias("node"), F.col(b).alias("neighbour"), F.lit(way).alias("way")) for a, b, way in (("source", "target", 0), ("target", "source", 1))]
+    sides = relationships.select(F.explode(F.array(*ends)).alias("e"), "relation_type", "rel_ord", "confidence").select("e.*", "relation_type", "rel_ord", "confidence")
+    of = [(F.min(F.when(F.col("way") == w, F.col("rel_ord"))).alias(f"r{w}"), F.max(F.when(F.col("way") == w, F.col("confidence"))).alias(f"c{w}")) for w in (0, 1)]
+    # one shuffle, by node, for the groups and for their positions
+    grouped = sides.repartition("node").groupBy("node", "neighbour", "relation_type").agg(*of[0], *of[1])
+    out = F.col("r0").isNotNull() & (F.col("r1").isNull() | F.col("c0").isNull() | F.coalesce(F.col("c0") >= F.col("c1"), F.lit(False)))
+    place = F.when(F.col("r0").isNotNull(), 0).otherwise(1), F.coalesce("r0", "r1")
+    position = F.row_number().over(Window.partitionBy("node").orderBy(*place, "neighbour", "relation_type"))
+
+    def pick(a: str, b: str):
+        return F.when(out, F.col(a)).otherwise(F.col(b))
+
+    return grouped.select("node", "neighbour", "relation_type", position.alias("position"), pick("r0", "r1").alias("rel_ord"), pick("node", "neighbour").alias("source"), pick("neighbour", "node").alias("target"), pick("c0", "c1").alias("confidence"))
+
+
 def entity_relationships(relationships: DataFrame, entity_id: str) -> DataFrame:
     """Outgoing, then incoming edges of an entity; a self-loop comes twice."""
     out = relationships.where(F.col("source") == entity_id).withColumn("way", F.lit(0))

@@ -124,7 +124,7 @@ class Engine:
         chunks = chunks.join(noted, "chunk_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
         chunks = self._embed(chunks) if c.includes_semantic else chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
         chunks = materialise(chunks, "chunks")
-        self.graph = Graph(entities, relationships, chunks, documents)
+        self.graph = Graph(entities, relationships, chunks, documents, merged=True)
         self._contents = chunks.select(F.col("chunk_id").alias("id"), "content")
         index = bm25.build(self._contents)
         self._index = bm25.BM25Index(materialise(index.postings, "postings"), materialise(index.frequencies, "frequencies"), materialise(index.totals, "totals"))

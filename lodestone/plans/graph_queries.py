@@ -76,7 +76,7 @@ def shipments(spark: SparkSession, sf_dir: str) -> Graph:
     left = part.select((2 * F.col("p_partkey")).alias("entity_ord"), F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("entity_id"), F.col("p_name").alias("name"), F.lit("PART").alias("entity_type"), mentions)
     right = supplier.select((2 * F.col("s_suppkey") + 1).alias("entity_ord"), F.concat(F.lit("supplier_"), F.col("s_suppkey").cast("string")).alias("entity_id"), F.col("s_name").alias("name"), F.lit("SUPPLIER").alias("entity_type"), mentions)
     entities = left.unionByName(right)
-    return Graph(entities, graph_store.merge_relationships(_raw_shipments(spark, sf_dir), entities))
+    return Graph(entities, graph_store.merge_relationships(_raw_shipments(spark, sf_dir), entities), merged=True)
 
 
 def markets(spark: SparkSession, sf_dir: str) -> Graph:
